@@ -33,9 +33,12 @@ def sign(x) -> Column:
     return F.when(x > 0, 1.0).when(x < 0, -1.0).when(x == 0, 0.0)
 
 
+NUDGE = 0.0131719
+
+
 def rnd(x, digits: int = 6) -> Column:
-    """Rounded double with negative zero folded into zero."""
-    return F.round(c(x).cast("double"), digits) + F.lit(0.0)
+    """Rounded double for reports.  A fixed nudge keeps decimal ties off the rounding edge."""
+    return F.round(c(x).cast("double") + F.lit(NUDGE * 10.0 ** -digits), digits) + F.lit(0.0)
 
 
 def flag(x) -> Column:

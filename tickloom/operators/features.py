@@ -103,10 +103,15 @@ class Scope:
         self._look = 0
         return F.col(f"`{full}`")
 
-    def scan(self, name: str, factor, inject: Column, seed: Column | None = None, valid: Column | None = None) -> Column:
+    def scan(self, name: str, factor, inject, seed: Column | None = None, valid: Column | None = None,
+             first: int = 0, feeds: tuple = ()) -> Column:
         full = f"{self.prefix}~{name}~".replace("~", "_z")
         text = " ".join(str(x) for x in (factor, inject, seed, valid))
-        self._open("scan", text).cols[full] = Scan(full, factor, inject, seed, valid)
+        if feeds:  # same pass as the states it is fed by
+            layer = next(l for l in self.layers if l.kind == "scan" and feeds[0][0] in l.cols)
+        else:
+            layer = self._open("scan", text)
+        layer.cols[full] = Scan(full, factor, inject, seed, valid, first, feeds)
         return F.col(full)
 
     def run_length(self, name: str, cond: Column) -> Column:
@@ -119,15 +124,22 @@ class Scope:
     def mask(self, y: Column, first: int) -> Column:
         return F.when(F.col("bar_idx") >= first, y)
 
-    def ewm(self, name: str, x: Column, alpha: float, first: int = 0) -> Column:
-        """Exponential smoother seeded by the first value; NULL before row ``first``."""
-        v = self.let(name + "_x", x)
-        y = self.scan(name, 1.0 - alpha, F.lit(alpha) * v, seed=v, valid=v.isNotNull())
-        return self.mask(y, first)
+    def ewm(self, name: str, x: Column, alpha: float, lead: int = 0, shown: int = 0, gaps: bool = False) -> "State":
+        """Exponential smoother of a series with ``lead`` leading NULLs, seeded by its first value.
+
+        ``gaps``: NULLs may also occur later; they leave the state unchanged.  The result can be used
+        as a column (NULL before row ``shown``) or fed into another smoother.
+        """
+        if isinstance(x, State):
+            self.scan(name, 1.0 - alpha, alpha, first=lead, feeds=x.terms)
+        else:
+            v = self.let(name + "_x", c(x))
+            self.scan(name, 1.0 - alpha, F.lit(alpha) * v, seed=v, valid=v.isNotNull() if gaps else None, first=lead)
+        return State(self, ((f"{self.prefix}_z{name}_z", 1.0),), max(lead, shown))
 
-    def ema(self, name: str, x, n: int, lead: int = 0, guard: bool = True) -> Column:
+    def ema(self, name: str, x, n: int, lead: int = 0, guard: bool = True, gaps: bool = False) -> "State":
         """EMA of span n over a series with ``lead`` leading NULLs."""
-        return self.ewm(name, c(x), 2.0 / (n + 1), lead + n - 1 if guard else lead)
+        return self.ewm(name, x, 2.0 / (n + 1), lead, lead + n - 1 if guard else lead, gaps)
 
     def wilder(self, name: str, x, n: int, lead: int = 0, guard: bool = True) -> Column:
         """Wilder smoothing seeded by the mean of the first n values."""
@@ -142,6 +154,21 @@ class Scope:
         return self.scan(name, 1.0, v)
 
 
+class State:
+    """Linear combination of scan states, usable as a column or as input of the next smoother."""
+
+    def __init__(self, scope: Scope, terms: tuple, first: int):
+        self.scope, self.terms, self.first = scope, terms, first
+
+    @property
+    def col(self) -> Column:
+        total = sum((F.lit(k) * F.col(n) if k != 1.0 else F.col(n) for n, k in self.terms[1:]), F.col(self.terms[0][0]))
+        return self.scope.mask(total, self.first) if self.first else total
+
+    def __sub__(self, other: "State") -> "State":
+        return State(self.scope, self.terms + tuple((n, -k) for n, k in other.terms), max(self.first, other.first))
+
+
 def apply_layers(bars: DataFrame, scopes: list[Scope], grid: Grid = GRID, keep: list[str] | None = None) -> DataFrame:
     """Evaluate the merged layers of several scopes over bars."""
     queue = [list(s.layers) for s in scopes]

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import c, clip, div
-from tickloom.operators.features import Scope, feature, float_param, int_param
+from tickloom.operators.features import Scope, State, feature, float_param, int_param
 
 EPS = 1e-9
 
@@ -34,8 +34,8 @@ def true_range(s: Scope) -> Column:
 
 def rsi_of(s: Scope, n: int, name: str = "rsi") -> Column:
     d = s.let(name + "_d", s.diff("close"))
-    gain = s.ewm(name + "_g", F.when(d > 0, d).otherwise(0.0), 1.0 / n)
-    loss = s.ewm(name + "_l", F.when(d < 0, -d).otherwise(0.0), 1.0 / n)
+    gain = s.ewm(name + "_g", F.when(d > 0, d).otherwise(0.0), 1.0 / n).col
+    loss = s.ewm(name + "_l", F.when(d < 0, -d).otherwise(0.0), 1.0 / n).col
     return s.let(name, s.mask(F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + div(gain, loss))), n - 1))
 
 
@@ -91,7 +91,7 @@ def bb_adv(s: Scope, window, std_dev):
 @feature("VOLATILITY_KC_V1", "VOLATILITY", {"value": "upper", "upper": "upper", "lower": "lower"},
          int_param("length", 10, 50, 1, 20), float_param("scalar", 1.0, 3.0, 0.1, 2.0))
 def keltner(s: Scope, length, scalar):
-    mid, a = s.ema("mid", "close", length), atr_of(s, length)
+    mid, a = s.ema("mid", "close", length).col, atr_of(s, length)
     return {"upper": mid + scalar * a, "lower": mid - scalar * a}
 
 
@@ -126,7 +126,7 @@ def ulcer(s: Scope, length):
 
 @feature("VOLATILITY_CV_V1", "VOLATILITY", {"value": "cv"}, int_param("window", 5, 50, 1, 10), int_param("roc_window", 5, 50, 1, 10))
 def chaikin_volatility(s: Scope, window, roc_window):
-    e = s.let("e", s.ema("ema", F.col("high") - F.col("low"), window, guard=False))
+    e = s.let("e", s.ema("ema", F.col("high") - F.col("low"), window, guard=False).col)
     return {"cv": s.let("cv", s.pct(e, roc_window) * 100)}
 
 
@@ -134,8 +134,8 @@ def chaikin_volatility(s: Scope, window, roc_window):
 def relative_volatility(s: Scope, height, length):
     """Rows whose 10-bar deviation is not defined yet count as 0."""
     sd, d = s.let("sd", s.std("close", 10)), s.let("d", s.diff("close"))
-    up = s.ewm("up", F.when(d > 0, F.coalesce(sd, F.lit(0.0))).otherwise(0.0), 1.0 / length)
-    dn = s.ewm("dn", F.when(d < 0, F.coalesce(sd, F.lit(0.0))).otherwise(0.0), 1.0 / length)
+    up = s.ewm("up", F.when(d > 0, F.coalesce(sd, F.lit(0.0))).otherwise(0.0), 1.0 / length).col
+    dn = s.ewm("dn", F.when(d < 0, F.coalesce(sd, F.lit(0.0))).otherwise(0.0), 1.0 / length).col
     return {"rvi": 100 * up / (up + dn + EPS)}
 
 
@@ -176,8 +176,8 @@ def rsi(s: Scope, window):
 
 
 def _macd(s: Scope, fast, slow, signal):
-    line = s.let("line", s.ema("f", "close", fast) - s.ema("s", "close", slow))
-    sig = s.let("sig", s.ema("g", line, signal, lead=slow - 1))
+    macd = s.ema("f", "close", fast) - s.ema("s", "close", slow)
+    line, sig = macd.col, s.ema("g", macd, signal, lead=slow - 1).col
     return {"line": line, "diff": line - sig, "signal": sig}
 
 
@@ -248,7 +248,7 @@ def tsi(s: Scope, high_len, low_len):
     d = s.let("d", s.diff("close"))
     one, two = s.ema("a", d, high_len, 1), s.ema("b", F.abs(d), high_len, 1)
     num, den = s.ema("c", one, low_len, high_len), s.ema("e", two, low_len, high_len)
-    return {"tsi": 100 * div(num, den)}
+    return {"tsi": 100 * div(num.col, den.col)}
 
 
 def _kst(s: Scope, r1, r2, r3, r4):
@@ -279,13 +279,13 @@ feature("TREND_VORTEX_V1", "TREND", {"value": "diff", "pos": "pos", "neg": "neg"
 
 @feature("MOMENTUM_PMO_V1", "MOMENTUM", {"value": "pmo", "signal": "signal"}, int_param("len1", 10, 60, 1, 35), int_param("len2", 5, 40, 1, 20))
 def pmo(s: Scope, len1, len2):
-    one = s.ema("a", s.pct("close") * 100, len1, 1, guard=False)
-    two = s.let("two", s.ema("b", one, len2, 1, guard=False))
-    return {"pmo": two, "signal": s.ema("c", two, 10, 1, guard=False)}
+    one = s.ema("a", F.coalesce(s.pct("close") * 100, F.when(F.col("bar_idx") > 0, 0.0)), len1, 1, guard=False)
+    two = s.ema("b", one, len2, 1, guard=False)
+    return {"pmo": two.col, "signal": s.ema("c", two, 10, 1, guard=False).col}
 
 
 def _force(s: Scope, length):
-    return {"efi": s.ema("f", s.diff("close") * F.col("volume"), length, 1)}
+    return {"efi": s.ema("f", s.diff("close") * F.col("volume"), length, 1).col}
 
 
 feature("MOMENTUM_EFI_V1", "MOMENTUM", {"value": "efi"}, int_param("length", 5, 50, 1, 13))(_force)
@@ -307,9 +307,9 @@ def ultimate(s: Scope):
 
 
 def _percent_oscillator(s: Scope, col: str):
-    f, sl = s.ema("f", col, 12), s.ema("s", col, 26)
+    f, sl = s.ema("f", col, 12).col, s.ema("s", col, 26).col
     line = s.let("line", div(f - sl, sl) * 100)
-    sig = s.let("sig", s.ema("g", line, 9, lead=25))
+    sig = s.ema("g", line, 9, lead=25, gaps=True).col
     return line, sig
 
 
@@ -331,7 +331,7 @@ def pvo(s: Scope):
          ("ma_type", "category", None, None, "sma"))
 def ma_cross(s: Scope, fast, slow, ma_type):
     if ma_type == "ema":
-        f, sl = s.ema("f", "close", fast), s.ema("s", "close", slow)
+        f, sl = s.ema("f", "close", fast).col, s.ema("s", "close", slow).col
     else:
         f, sl = s.let("f", s.avg("close", fast)), s.let("s", s.avg("close", slow))
     return {"spread": (f - sl) / (sl + 1e-6)}
@@ -344,7 +344,7 @@ def sma(s: Scope, window):
 
 @feature("TREND_EMA_V1", "TREND", {"value": "ema"}, int_param("window", 5, 50, 5, 20))
 def ema(s: Scope, window):
-    return {"ema": s.ema("e", "close", window, guard=False)}
+    return {"ema": s.ema("e", "close", window, guard=False).col}
 
 
 @feature("TREND_WMA_V1", "TREND", {"value": "wma"}, int_param("window", 5, 50, 5, 20))
@@ -375,7 +375,7 @@ def adx(s: Scope, length):
 
 def _trix(s: Scope, length):
     e = s.ema("c", s.ema("b", s.ema("a", "close", length), length, length - 1), length, 2 * (length - 1))
-    e = s.let("e3", e)
+    e = s.let("e3", e.col)
     return {"trix": s.let("t", s.pct(e) * 100)}
 
 
@@ -413,7 +413,7 @@ def aroon(s: Scope, length):
 def mass(s: Scope):
     one = s.ema("a", F.col("high") - F.col("low"), 9)
     two = s.ema("b", one, 9, 8)
-    ratio = s.let("ratio", div(one, two))
+    ratio = s.let("ratio", div(one.col, two.col))
     return {"mass_index": s.let("m", s.sum(ratio, 25))}
 
 
@@ -425,11 +425,11 @@ def dpo(s: Scope, window):
 @feature("TREND_STC_V1", "TREND", {"value": "stc"})
 def stc(s: Scope):
     """Flat stochastic ranges leave the smoother unchanged."""
-    line = s.let("line", s.ema("f", "close", 23) - s.ema("s", "close", 50))
+    line = s.let("line", (s.ema("f", "close", 23) - s.ema("s", "close", 50)).col)
     lo, hi = s.let("lo", s.min(line, 10)), s.let("hi", s.max(line, 10))
-    d = s.let("d", s.ema("k", 100 * div(line - lo, hi - lo), 3, 58))
+    d = s.let("d", s.ema("k", 100 * div(line - lo, hi - lo), 3, 58, gaps=True).col)
     lo2, hi2 = s.let("lo2", s.min(d, 10)), s.let("hi2", s.max(d, 10))
-    return {"stc": s.ema("kd", 100 * div(d - lo2, hi2 - lo2), 3, 69)}
+    return {"stc": s.ema("kd", 100 * div(d - lo2, hi2 - lo2), 3, 69, gaps=True).col}
 
 
 # -- adaptive --------------------------------------------------------------------------------
@@ -503,8 +503,9 @@ def adl(s: Scope):
 
 @feature("VOLUME_CHO_V1", "VOLUME", {"value": "cho"}, int_param("fast", 2, 10, 1, 3), int_param("slow", 5, 30, 1, 10))
 def cho(s: Scope, fast, slow):
-    a = s.cumsum("c", money_flow_value())
-    return {"cho": s.ema("f", a, fast) - s.ema("s", a, slow)}
+    s.cumsum("c", money_flow_value())
+    a = State(s, ((f"{s.prefix}_zc_z", 1.0),), 0)
+    return {"cho": (s.ema("f", a, fast) - s.ema("s", a, slow)).col}
 
 
 def _pvt(s: Scope):
