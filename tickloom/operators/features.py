@@ -70,9 +70,11 @@ class Scope:
         return self.full(lambda v: F.percentile(v, F.lit(q)), x, n)
 
     def corr(self, x, y, n: int) -> Column:
-        w = self.frame(n)
-        both = F.when(c(x).isNotNull() & c(y).isNotNull(), 1)
-        return F.when(F.count(both).over(w) == n, F.nanvl(F.corr(c(x), c(y)).over(w), F.lit(None)))
+        """Pearson correlation of n complete pairs; NULL when either side is constant."""
+        w, x, y = self.frame(n), c(x), c(y)
+        both = F.when(x.isNotNull() & y.isNotNull(), 1)
+        spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+        return F.when(F.count(both).over(w) == n, F.try_divide(F.covar_pop(x, y).over(w), spread))
 
     def lag(self, x, n: int = 1) -> Column:
         self._look = max(self._look, n)
