@@ -12,28 +12,19 @@ from tickloom.operators.context import with_columns_on
 
 
 def positions(bars: DataFrame, trades: DataFrame, keys: list[str], grid: Grid = GRID) -> DataFrame:
-    """0/1 position per bar: long on entry_idx <= i < exit_idx.
+    """0/1 position after each bar: long on entry_idx <= i < exit_idx, and on the last bar of a trade still open there.
 
     Trades become +1 / -1 marks on their two bars and a running sum fills the interval, so no range join is needed.
-    A trade closed by end of data stays open on its last bar.
     """
     marks = trades.select(*keys, F.explode(F.array(
         F.struct(F.col("entry_idx").alias("bar_idx"), F.lit(1.0).alias("d")),
-        F.struct(F.col("exit_idx").alias("bar_idx"), F.lit(-1.0).alias("d")))).alias("m"))
+        F.struct(F.col("exit_idx").alias("bar_idx"), F.when(F.col("open_at_end"), 0.0).otherwise(-1.0).alias("d")))).alias("m"))
     net = marks.select(*keys, "m.bar_idx", "m.d").groupBy(*keys, "bar_idx").agg(F.sum("d").alias("_d"))
     joined = bars.join(net, [*keys, "bar_idx"], "left")
     out = running(joined, {"_pos": ("sum", F.coalesce("_d", F.lit(0.0)))}, keys=tuple(keys), grid=grid)
     return out.withColumn("position", F.col("_pos").cast("int")).drop("_d", "_pos")
 
 
-def hold_last_bar(pos: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Engine view of the final bar: a position still open there counts as held (it is closed at the same close)."""
-    last = pos.groupBy(*keys).agg(F.max("bar_idx").alias("_last"))
-    held = trades.join(last, keys).filter((F.col("exit_idx") == F.col("_last")) & F.col("open_at_end")).select(*keys, F.col("_last").alias("bar_idx"), F.lit(1).alias("_held"))
-    return pos.join(held.distinct(), [*keys, "bar_idx"], "left").withColumn(
-        "position", F.greatest("position", F.coalesce("_held", F.lit(0)))).drop("_held")
-
-
 def bar_returns(pos: DataFrame, keys: list[str], grid: Grid = GRID, start: Column | None = None) -> DataFrame:
     """Gross strategy return of each bar: previous position times the close-to-close return; 0 on the first bar."""
     from tickloom.operators.features import Scope, apply_layers

@@ -60,10 +60,10 @@ def close_machine(a: dict, p: dict, state, last: bool, emit):
     pos, e, price, lo_hold, hi_hold = (0, 0, 0.0, 0, -1) if state is None else state
     at = 0
 
-    def record(exit_abs, exit_price, reason):
+    def record(exit_abs, exit_price, reason, still_open=False):
         if emit is not None:
             net = (exit_price * (1.0 - cost)) / (price * (1.0 + cost)) - 1.0
-            emit.append((int(e), int(exit_abs), float(price), float(exit_price), net * 100.0, reason, int(exit_abs - e)))
+            emit.append((int(e), int(exit_abs), float(price), float(exit_price), net * 100.0, reason, int(exit_abs - e), still_open))
 
     while True:
         if not pos:
@@ -85,12 +85,12 @@ def close_machine(a: dict, p: dict, state, last: bool, emit):
         record(base + out[0], float(close[out[0]]), out[1])
         pos, at = 0, out[0] + 1
     if last and pos:
-        record(base + len(close) - 1, float(close[-1]), "HORIZON")
+        record(base + len(close) - 1, float(close[-1]), "HORIZON", True)
     return [pos, e, price, lo_hold, hi_hold] if pos else [0, 0, 0.0, 0, -1]
 
 
 TRADES = ("entry_idx bigint, exit_idx bigint, entry_price double, exit_price double, return_pct double, "
-          "exit_reason string, bars int")
+          "exit_reason string, bars int, open_at_end boolean")
 
 
 def close_engine(signals: DataFrame, params: DataFrame, keys=("policy_id", "symbol"), param_keys=("sample_id",),

@@ -97,18 +97,18 @@ def mask(x: str, first: int) -> str:
     return f"(CASE WHEN bar_idx >= {first} THEN {x} END)"
 
 
-def chain(prefix: str, *layers, source: str = "bars") -> tuple[str, str]:
+def chain(prefix: str, *layers, source: str = "bars", tag: str = "t") -> tuple[str, str]:
     """(CTE text, name of the last CTE) for a sequence of column layers and recursions."""
-    ctes, prev = [prefix], source
+    ctes, prev = [prefix.removeprefix("WITH RECURSIVE ")], source
     for i, layer in enumerate(layers):
-        cur = f"t{i}"
+        cur, rec = f"{tag}{i}", f"{tag}r{i}"
         if isinstance(layer, Rec):
             init = ", ".join(f"({a})::DOUBLE AS {n}" for n, (a, _) in layer.cols.items())
             step = ", ".join(f"({b})::DOUBLE AS {n}" for n, (_, b) in layer.cols.items())
             names = ", ".join(f"r.{n}" for n in layer.cols)
-            ctes.append(f"r{i} AS (SELECT symbol, bar_idx, {init} FROM {prev} WHERE bar_idx = 0 UNION ALL "
-                        f"SELECT x.symbol, x.bar_idx, {step} FROM r{i} r JOIN {prev} x ON x.symbol = r.symbol AND x.bar_idx = r.bar_idx + 1)")
-            ctes.append(f"{cur} AS MATERIALIZED (SELECT x.*, {names} FROM {prev} x JOIN r{i} r USING (symbol, bar_idx))")
+            ctes.append(f"{rec} AS (SELECT symbol, bar_idx, {init} FROM {prev} WHERE bar_idx = 0 UNION ALL "
+                        f"SELECT x.symbol, x.bar_idx, {step} FROM {rec} r JOIN {prev} x ON x.symbol = r.symbol AND x.bar_idx = r.bar_idx + 1)")
+            ctes.append(f"{cur} AS MATERIALIZED (SELECT x.*, {names} FROM {prev} x JOIN {rec} r USING (symbol, bar_idx))")
         else:
             cols = ", ".join(f"{e} AS {n}" for n, e in layer.items())
             ctes.append(f"{cur} AS MATERIALIZED (SELECT *, {cols} FROM {prev})")
