@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import settings as S
 from tickloom.functions.num import clip, div
 from tickloom.operators.blocks import GRID, Grid, running
-from tickloom.operators.context import with_columns_on
+from tickloom.session import materialize
 
 
 def positions(bars: DataFrame, trades: DataFrame, keys: list[str], grid: Grid = GRID) -> DataFrame:
@@ -20,7 +20,7 @@ def positions(bars: DataFrame, trades: DataFrame, keys: list[str], grid: Grid =
         F.struct(F.col("entry_idx").alias("bar_idx"), F.lit(1.0).alias("d")),
         F.struct(F.col("exit_idx").alias("bar_idx"), F.when(F.col("open_at_end"), 0.0).otherwise(-1.0).alias("d")))).alias("m"))
     net = marks.select(*keys, "m.bar_idx", "m.d").groupBy(*keys, "bar_idx").agg(F.sum("d").alias("_d"))
-    joined = bars.join(net, [*keys, "bar_idx"], "left")
+    joined = materialize(bars.join(net, [*keys, "bar_idx"], "left"))
     out = running(joined, {"_pos": ("sum", F.coalesce("_d", F.lit(0.0)))}, keys=tuple(keys), grid=grid)
     return out.withColumn("position", F.col("_pos").cast("int")).drop("_d", "_pos")
 
@@ -44,7 +44,7 @@ def equity_curve(ret: DataFrame, keys: list[str], col: str = "strategy_return",
     The product is a running sum of logarithms; a return of -100 % or worse ends the curve at zero.
     """
     grow = F.lit(1.0) + F.col(col)
-    df = running(ret, {"_log": ("sum", F.when(grow > 0, F.ln(grow)).otherwise(0.0)), "_dead": ("max", F.when(grow <= 0, 1.0).otherwise(0.0))},
+    df = running(materialize(ret), {"_log": ("sum", F.when(grow > 0, F.ln(grow)).otherwise(0.0)), "_dead": ("max", F.when(grow <= 0, 1.0).otherwise(0.0))},
                  keys=tuple(keys), grid=grid)
     df = df.withColumn("equity", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log"))).drop("_log", "_dead")
     df = running(df, {"_peak": ("max", F.col("equity"))}, keys=tuple(keys), grid=grid)

@@ -12,6 +12,7 @@ from tickloom.operators.blocks import GRID, Grid
 from tickloom.operators.features import Scope, apply_layers
 from tickloom.operators.indicators import adx_of
 from tickloom.operators.quantiles import exact_quantiles
+from tickloom.session import materialize
 from tickloom.sources.bars import forward_fill, last_bars
 
 EPS8, EPS9 = 1e-8, 1e-9
@@ -190,6 +191,7 @@ def state_features(bars: DataFrame, grid: Grid = GRID) -> DataFrame:
 
 def state_scaler(features: DataFrame) -> DataFrame:
     """Per symbol and feature: 1 % and 99 % quantile, mean, sample standard deviation."""
+    features = materialize(features.select("symbol", *STATE))
     q = exact_quantiles(features, ["symbol"], [(n, x) for n in STATE for x in (0.01, 0.99)])
     bounds = q.groupBy("symbol", "col").agg(F.max(F.when(F.col("q") < 0.5, F.col("value"))).alias("min"),
                                             F.max(F.when(F.col("q") > 0.5, F.col("value"))).alias("max"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import settings as S
 from tickloom.functions.num import clip, div
 from tickloom.operators.blocks import GRID, GROUP_KEY, Grid, running
+from tickloom.session import materialize
 
 
 
@@ -56,12 +57,12 @@ def equity_stats(returns: DataFrame, keys: list[str], ret: str = "r", held: str
     ``returns``: keys, bar_idx, ret and optionally a 0/1 ``held`` column.
     """
     grow = F.lit(1.0) + F.col(ret)
-    df = running(returns, {"_log": ("sum", F.when(grow > 0, F.ln(grow)).otherwise(0.0)), "_dead": ("max", F.when(grow <= 0, 1.0).otherwise(0.0))}, tuple(keys), grid=grid)
+    df = running(materialize(returns), {"_log": ("sum", F.when(grow > 0, F.ln(grow)).otherwise(0.0)), "_dead": ("max", F.when(grow <= 0, 1.0).otherwise(0.0))}, tuple(keys), grid=grid)
     df = df.withColumn("_eq", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")))
     df = running(df, {"_peak": ("max", F.col("_eq"))}, tuple(keys), grid=grid)
     # a new peak can differ from the curve by rounding of exp(sum(ln)); such gaps are not drawdowns
     df = df.withColumn("_dd", F.when(F.col("_eq") >= F.col("_peak") * (1 - 1e-13), 0.0).otherwise(div("_eq", "_peak") - 1))
-    df = running(df, {"_flat": ("max", F.when(F.col("_dd") >= 0, F.col("bar_idx"))), "_first": ("min", F.col("bar_idx"))}, tuple(keys), grid=grid)
+    df = running(materialize(df), {"_flat": ("max", F.when(F.col("_dd") >= 0, F.col("bar_idx"))), "_first": ("min", F.col("bar_idx"))}, tuple(keys), grid=grid)
     run = F.when(F.col("_dd") < 0, F.col("bar_idx") - F.coalesce(F.col("_flat"), F.col("_first") - 1)).otherwise(0)
     agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("_eq", "bar_idx").alias("_end"), F.abs(F.min("_dd")).alias("_mdd"), F.max(run).alias("mdd_duration"),
@@ -156,7 +157,7 @@ def prediction_trades(df: DataFrame, keys: list[str], pred: str = "pred", pnl: s
 def pnl_metrics(df: DataFrame, keys: list[str], pnl: str = "net_pnl", unit: str = "risk_unit", grid: Grid = GRID) -> DataFrame:
     """Return, drawdown (negative), volatility and mean gain / mean loss of profit times the risk unit."""
     r = clip(F.coalesce(F.col(pnl), F.lit(0.0)) * F.col(unit), -0.95, None)
-    df = running(df.withColumn("_r", r), {"_log": ("sum", F.log1p("_r"))}, tuple(keys), grid=grid).withColumn("_eq", F.exp("_log"))
+    df = running(materialize(df.withColumn("_r", r)), {"_log": ("sum", F.log1p("_r"))}, tuple(keys), grid=grid).withColumn("_eq", F.exp("_log"))
     df = running(df, {"_peak": ("max", F.col("_eq"))}, tuple(keys), grid=grid)
     gain, loss = F.avg(F.when(F.col("_r") > 0, F.col("_r"))), F.abs(F.avg(F.when(F.col("_r") < 0, F.col("_r"))))
     return df.groupBy(*keys).agg(

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.session import ensure_checkpoint_dir
+from tickloom.session import materialize
 
 BLOCK = 8192
 BLK = "_blk"
@@ -74,10 +74,8 @@ def relay(df: DataFrame, machine: Machine, out_schema: str, keys: tuple[str, ...
     by ``param_keys``); the bars of a block are shipped once for all of them.  ``out_schema`` describes
     the emitted tuples.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys_l, pk = list(keys), list(param_keys)
-    data = df.withColumn(BLK, F.expr(f"{idx} div {block}")).checkpoint()
+    data = materialize(df.withColumn(BLK, F.expr(f"{idx} div {block}")))
     blocks = data.groupBy(*keys_l).agg(F.max(BLK).alias("_hi"))
     plan = blocks.select(*keys_l, "_hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_hi"))).alias(BLK))
     plan = plan.select(*keys_l, BLK, (F.col(BLK) == F.col("_hi")).alias("_last"))
@@ -111,7 +109,7 @@ def _settle(data: DataFrame, plan: DataFrame, machine: Machine, keys: list[str],
     def run(todo: DataFrame, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys, BLK).cogroup(todo.select(*cols).groupBy(*keys, BLK)).applyInPandas(fn, schema)
 
-    states = run(plan, data).checkpoint()
+    states = materialize(run(plan, data))
     before = Window.partitionBy(*keys, *pk).orderBy(BLK)
     same = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x))), lambda ok: ok)
     for _ in range(max_rounds):
@@ -122,7 +120,7 @@ def _settle(data: DataFrame, plan: DataFrame, machine: Machine, keys: list[str],
         if todo.limit(1).count() == 0:
             return states.select(*cols)
         again = run(todo, data.join(todo.select(*keys, BLK).distinct(), [*keys, BLK], "left_semi"))
-        states = marked.filter(~F.col("_stale")).select(*cols, "_depart").unionByName(again.select(*cols, "_depart")).checkpoint()
+        states = materialize(marked.filter(~F.col("_stale")).select(*cols, "_depart").unionByName(again.select(*cols, "_depart")))
     raise RuntimeError("state relay did not settle")
 
 

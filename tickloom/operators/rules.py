@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import settings as S
 from tickloom.operators.features import REGISTRY, Registry, resolve
 from tickloom.operators.quantiles import exact_quantiles
+from tickloom.session import materialize
 
 TERM = re.compile(r"`?([A-Za-z_][\w.\-]*)`?\s*(<=|>=|==|!=|<|>|cross_up|cross_down)\s*(\[q[0-9.]+\]|-?[0-9.]+(?:[eE]-?\d+)?|`?[A-Za-z_][\w.\-]*`?)")
 WORDS = {"and", "or", "not", "true", "false"}
@@ -106,6 +107,7 @@ def add_quantiles(df: DataFrame, pairs: set, keys: list[str]) -> DataFrame:
     """Quantile thresholds of the evaluated frame, one column per (column, q), from one aggregation."""
     if not pairs:
         return df
+    df = materialize(df)
     q = exact_quantiles(df, keys, sorted(pairs))
     wide = q.groupBy(*keys).agg(*[
         F.max(F.when((F.col("col") == c) & (F.col("q") == x), F.col("value"))).alias(quantile_column(c, x)) for c, x in sorted(pairs)])

@@ -10,6 +10,7 @@ from tickloom.operators.engines import close_engine, state_gate
 from tickloom.operators.features import compute_genome
 from tickloom.operators.rules import policy_signals
 from tickloom.queries.base import bars_d
+from tickloom.session import materialize
 from tickloom.queries.feature_queries import rsi_layers
 from tickloom.queries.sqlkit import BARS_D, Rec, chain, lag, over, win
 
@@ -45,10 +46,10 @@ def gated_signals(spark: SparkSession, sf: str) -> DataFrame:
     return state_gate(raw_signals(spark, sf), policy_params(spark).drop("sample_id", "max_hold", "cost_bps"))
 
 
-def base_trades(spark: SparkSession, sf: str) -> DataFrame:
+def base_trades(spark: SparkSession, sf: str, signals: DataFrame | None = None) -> DataFrame:
     """Trades of every policy on ungated signals with the policy's own exits."""
-    sig = raw_signals(spark, sf).drop("hold_min", "hold_max")
-    return close_engine(sig, policy_params(spark))
+    sig = raw_signals(spark, sf) if signals is None else signals
+    return close_engine(sig.drop("hold_min", "hold_max", "sample_id"), policy_params(spark))
 
 
 KEYS = ["policy_id", "symbol", "sample_id"]
@@ -60,8 +61,8 @@ def signal_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine_positions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(signals with end-of-bar position, trades)."""
-    trades = base_trades(spark, sf)
-    grid = signal_grid(spark, sf)
+    grid = materialize(signal_grid(spark, sf))
+    trades = base_trades(spark, sf, grid)
     pos = BT.positions(grid, trades, KEYS)
     return pos, trades
 

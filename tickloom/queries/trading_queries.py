@@ -18,6 +18,16 @@ from tickloom.queries.base import bars_c, bars_d, bars_h, query, register, table
 from tickloom.queries.feature_queries import rsi_layers
 from tickloom.queries.sqlkit import BARS_D, BARS_H, Rec, chain, lag, r6, select, win
 
+def slog(x):
+    """Returns that compound over years span many magnitudes; sign(x) ln(1 + |x|) is compared instead."""
+    x = F.col(x) if isinstance(x, str) else x
+    return rnd(F.signum(x) * F.log1p(F.abs(x)))
+
+
+def s_slog(e: str) -> str:
+    return r6(f"sign({e}) * ln(1 + abs({e}))")
+
+
 big = lambda c: F.col(c).cast("bigint").alias(c)
 WITH = "WITH RECURSIVE "
 
@@ -39,8 +49,8 @@ rule_query("rule.compare", {"gt": "close > open", "lt": "TREND_SMA_V1 < 50", "ge
            {"gt": "close > open", "lt": "coalesce(sma < 50, false)", "ge": "coalesce(sma >= close, false)", "ne": "coalesce(sma <> 50, true)"}, {"TREND_SMA_V1": {}}, SMA)
 rule_query("rule.cross", {"up": "close cross_up TREND_SMA_V1", "down": "close cross_down 40"},
            {"up": f"coalesce({lag('close')} <= {lag('sma')} AND close > sma, false)", "down": f"coalesce({lag('close')} >= 40 AND close < 40, false)"}, {"TREND_SMA_V1": {}}, SMA)
-rule_query("rule.quantile", {"high": "close > [q0.75]", "calm": "TREND_SMA_V1 <= [q0.3]"},
-           {"high": "close > quantile_cont(close, 0.75) OVER (PARTITION BY symbol)", "calm": "coalesce(sma <= quantile_cont(sma, 0.3) OVER (PARTITION BY symbol), false)"}, {"TREND_SMA_V1": {}}, SMA)
+rule_query("rule.quantile", {"top": "close > [q0.75]", "calm": "TREND_SMA_V1 <= [q0.3]"},
+           {"top": "close > quantile_cont(close, 0.75) OVER (PARTITION BY symbol)", "calm": "coalesce(sma <= quantile_cont(sma, 0.3) OVER (PARTITION BY symbol), false)"}, {"TREND_SMA_V1": {}}, SMA)
 rule_query("rule.bool", {"mix": "not (close > open and volume > 2) or high >= 200", "always": "true", "never": ""},
            {"mix": "NOT (close > open AND volume > 2) OR high >= 200", "always": "true", "never": "false"})
 rule_query("rule.text", {"r1": "MOMENTUM_RSI_V1 < 45 and close > 20 and volume >= 2", "r2": "MOMENTUM_RSI_V1.velocity > 0 and `close` < 80"},
@@ -205,10 +215,10 @@ def curve(spark, sf):
     return BT.equity_curve(BT.bar_returns(pos, D.KEYS), D.KEYS), trades
 
 
-register("bt.equity_curve", lambda spark, sf: curve(spark, sf)[0].select("policy_id", "symbol", "bar_idx", rnd("equity_pct").alias("equity_pct")),
-         f"{CURVE_SQL} SELECT policy_id, sym AS symbol, bar_idx::BIGINT AS bar_idx, {r6('(eq - 1) * 100')} AS equity_pct FROM {CURVE}")
-register("bt.drawdown", lambda spark, sf: curve(spark, sf)[0].groupBy("policy_id", "symbol").agg(rnd(F.abs(F.min("drawdown")) * 100).alias("mdd_pct"), rnd(F.max("peak")).alias("peak")),
-         f"{CURVE_SQL} SELECT policy_id, sym AS symbol, {r6('abs(min(eq / pk - 1)) * 100')} AS mdd_pct, {r6('max(pk)')} AS peak FROM {CURVE} GROUP BY ALL")
+register("bt.equity_curve", lambda spark, sf: curve(spark, sf)[0].select("policy_id", "symbol", "bar_idx", slog("equity_pct").alias("equity_slog")),
+         f"{CURVE_SQL} SELECT policy_id, sym AS symbol, bar_idx::BIGINT AS bar_idx, {s_slog('((eq - 1) * 100)')} AS equity_slog FROM {CURVE}")
+register("bt.drawdown", lambda spark, sf: curve(spark, sf)[0].groupBy("policy_id", "symbol").agg(rnd(F.abs(F.min("drawdown")) * 100).alias("mdd_pct"), slog(F.max("peak")).alias("peak_slog")),
+         f"{CURVE_SQL} SELECT policy_id, sym AS symbol, {r6('abs(min(eq / pk - 1)) * 100')} AS mdd_pct, {s_slog('max(pk)')} AS peak_slog FROM {CURVE} GROUP BY ALL")
 FLAG_SQL = f"""flags AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY bar_idx), 0) AS pp FROM {D.RUN}),
 acts AS (SELECT *, CASE WHEN entry AND exit THEN 'CONFLICT_ENTRY_EXIT' END AS inv, CASE WHEN entry AND exit THEN NULL WHEN entry AND pp = 1 THEN 'IGNORED_LONG_ENTER' WHEN exit AND pp = 0 THEN 'IGNORED_FLAT_EXIT' END AS ign FROM flags)"""
 
@@ -257,10 +267,11 @@ SUMMARY_SQL = f"""{CURVE_SQL}, {D.trades_of(D.RUN)},
 ts AS (SELECT symbol, count(*) AS n, (product(1 + return_pct / 100) - 1) * 100 AS total, avg((return_pct > 0)::INT) AS wr, sum(greatest(return_pct, 0)) / 100 AS gp, abs(sum(least(return_pct, 0))) / 100 AS gl, avg(return_pct) AS av FROM trades GROUP BY 1),
 bs AS (SELECT policy_id, sym, symbol, count(*) AS nb, avg(pos) AS ex, abs(min(eq / pk - 1)) * 100 AS mdd, arg_min(close, bar_idx) AS c0, arg_max(close, bar_idx) AS c1 FROM {CURVE} GROUP BY ALL),
 summ AS (SELECT *, CASE WHEN c0 = 0 THEN 0 ELSE (c1 / c0 - 1) * 100 * ex END AS bench FROM bs LEFT JOIN ts USING (symbol))"""
+WIDE = ("total_return", "excess", "avg_trade_return", "benchmark", "total_return_pct", "cagr")
 SUM_COLS = {"total_return": "coalesce(total, 0)", "mdd": "mdd", "win_rate": "coalesce(wr, 0)", "profit_factor": "CASE WHEN gl > 0 THEN gp / gl WHEN gp > 0 THEN 100 ELSE 1 END", "exposure": "ex",
             "avg_trade_return": "coalesce(av, 0)", "trades_per_year": "coalesce(n, 0) / (nb / 252.0)", "benchmark": "bench", "excess": "coalesce(total, 0) - bench"}
-register("bt.summary", lambda spark, sf: summary(spark, sf).select("policy_id", "symbol", big("trade_count"), *[rnd(c).alias(c) for c in SUM_COLS]),
-         f"{SUMMARY_SQL} SELECT policy_id, sym AS symbol, coalesce(n, 0)::BIGINT AS trade_count, {', '.join(f'{r6(e)} AS {c}' for c, e in SUM_COLS.items())} FROM summ")
+register("bt.summary", lambda spark, sf: summary(spark, sf).select("policy_id", "symbol", big("trade_count"), *[(slog if c in WIDE else rnd)(c).alias(c) for c in SUM_COLS]),
+         f"{SUMMARY_SQL} SELECT policy_id, sym AS symbol, coalesce(n, 0)::BIGINT AS trade_count, {', '.join(f'{(s_slog if c in WIDE else r6)(e)} AS {c}' for c, e in SUM_COLS.items())} FROM summ")
 
 
 @query("bt.benchmark", f"""WITH {BARS_D}, a AS (SELECT symbol, arg_min(close, bar_idx) AS c0, arg_max(close, bar_idx) AS c1, avg((close > open)::INT) AS ex FROM bars GROUP BY 1)
@@ -382,8 +393,8 @@ def pnl_frame(spark, sf):
 PNL_LAYERS = [{"pred": f"coalesce({lag('signal')}, 0)"}, {"pnl": f"pred * coalesce((close - {lag('close')}) / nullif({lag('close')}, 0), 0) * 2"}, {"ur": "greatest(pnl * 0.05, -0.95)"},
               {"eq": "product(1 + ur) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)"}, {"pk": "max(eq) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)"}]
 PNL_SQL, PNL = chain(f"{BARS_D}, {PRED_SQL}", *PNL_LAYERS, source="psig")
-register("bt.compounded", lambda spark, sf: BT.compounded(pnl_frame(spark, sf), ["symbol"]).select("symbol", "bar_idx", rnd("equity_pct").alias("equity_pct")),
-         f"{PNL_SQL} SELECT symbol, bar_idx::BIGINT AS bar_idx, {r6('(eq - 1) * 100')} AS equity_pct FROM {PNL}")
+register("bt.compounded", lambda spark, sf: BT.compounded(pnl_frame(spark, sf), ["symbol"]).select("symbol", "bar_idx", slog("equity_pct").alias("equity_slog")),
+         f"{PNL_SQL} SELECT symbol, bar_idx::BIGINT AS bar_idx, {s_slog('((eq - 1) * 100)')} AS equity_slog FROM {PNL}")
 register("bt.fast_score", lambda spark, sf: BT.fast_scores(D.raw_signals(spark, sf), ["policy_id", "symbol"]).select("policy_id", "symbol", rnd("score").alias("score")),
          f"""{D.SIGNALS_SQL}, nx AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY bar_idx) AS nc FROM sig), rr AS (SELECT policy_id, sym, entry, entry::INT * (nc - close) / nullif(close, 0) AS r FROM nx WHERE nc IS NOT NULL)
   SELECT policy_id, sym AS symbol, {r6('CASE WHEN count(*) FILTER (entry) = 0 THEN -99 ELSE sum(r) * 1000 + CASE WHEN stddev_pop(r) > 1e-9 THEN avg(r) / stddev_pop(r) ELSE 0 END * 10 END')} AS score FROM rr GROUP BY ALL""")
@@ -402,9 +413,11 @@ register("bt.compare_trades", lambda spark, sf: BT.compare_trades(*compare_input
   CASE symbol WHEN 'N' THEN 'TRADE_COUNT_MISMATCH' WHEN 'R' THEN 'EXIT_BAR_MISMATCH' ELSE 'MATCH' END AS mismatch, (CASE WHEN symbol = 'R' THEN 5 END)::BIGINT AS trade_no FROM n""")
 
 
-@query("bt.invariants", f"""{TV_TRADES}, chk AS (SELECT t.symbol, abs(t.entry_price - b.open * (1 + {_slipf})) <= 1e-9 AS fill_ok, p.entry AS signal_ok, t.exit_idx >= t.entry_idx AS order_ok,
-    t.reason NOT IN ('tp', 'sl') OR (t.exit_price / (1 - {_slipf}) BETWEEN least(x.low, x.open, t.exit_price) - 1e-6 AND greatest(x.high, x.open, t.exit_price / (1 - {_slipf})) + 1e-6) AS range_ok
-  FROM tvx t JOIN tvb b ON b.symbol = t.symbol AND b.bar_idx = t.entry_idx JOIN tvb p ON p.symbol = t.symbol AND p.bar_idx = t.entry_idx - 1 JOIN tvb x ON x.symbol = t.symbol AND x.bar_idx = t.exit_idx)
+@query("bt.invariants", f"""{TV_TRADES}, j1 AS MATERIALIZED (SELECT t.*, b.open AS eo FROM tvx t JOIN tvb b ON b.symbol = t.symbol AND b.bar_idx = t.entry_idx),
+  j2 AS MATERIALIZED (SELECT t.*, p.entry AS sg FROM j1 t JOIN tvb p ON p.symbol = t.symbol AND p.bar_idx = t.entry_idx - 1),
+  j3 AS MATERIALIZED (SELECT t.*, x.open AS xo, x.high AS xh, x.low AS xl FROM j2 t JOIN tvb x ON x.symbol = t.symbol AND x.bar_idx = t.exit_idx),
+  chk AS (SELECT symbol, abs(entry_price - eo * (1 + {_slipf})) <= 1e-9 AS fill_ok, sg AS signal_ok, exit_idx >= entry_idx AS order_ok,
+    reason NOT IN ('tp', 'sl') OR (exit_price + xs BETWEEN least(xl, xo, exit_price) - 1e-6 AND greatest(xh, xo, exit_price + xs) + 1e-6) AS range_ok FROM j3)
   SELECT symbol, count(*)::BIGINT AS trades, bool_and(fill_ok) AS fills_at_next_open, bool_and(signal_ok) AS follows_signal, bool_and(order_ok) AS exit_after_entry, bool_and(range_ok) AS exit_in_range FROM chk GROUP BY 1""")
 def invariants(spark, sf):
     sig = sma_cross(bars_d(spark, sf)).withColumn("entry", F.col("entry") | (F.col("bar_idx") % 37 == 0))
@@ -461,8 +474,8 @@ ESTAT_SQL, ESTAT = chain(f"{CURVE_SQL}, est AS MATERIALIZED (SELECT policy_id, s
 ESTAT_AGG = f"""{ESTAT_SQL}, ea AS (SELECT policy_id, sym, symbol, count(*) AS n, arg_max(eq2, bar_idx) AS e1, abs(min(dd)) * 100 AS mdd, max(CASE WHEN dd < 0 THEN bar_idx - coalesce(lastflat, 0) ELSE 0 END) AS dur, stddev_pop(ret) AS sd, avg(pos) AS ex FROM {ESTAT} GROUP BY ALL),
 eb AS (SELECT *, (e1 - 1) * 100 AS total_return_pct, CASE WHEN e1 > 0 THEN (pow(e1, 252.0 / n) - 1) * 100 ELSE -100 END AS cagr, sd * sqrt(252) * 100 AS vol_pct, mdd AS max_drawdown_pct, ex AS exposure_ratio FROM ea),
 es AS (SELECT *, CASE WHEN vol_pct > 1e-9 THEN cagr / vol_pct ELSE 0 END AS sharpe FROM eb)"""
-register("met.equity", lambda spark, sf: estats(spark, sf).select(*PS, *[rnd(c).alias(c) for c in EQ_COLS], "mdd_duration"),
-         f"{ESTAT_AGG} SELECT policy_id, sym AS symbol, {', '.join(f'{r6(c)} AS {c}' for c in EQ_COLS)}, dur::BIGINT AS mdd_duration FROM es")
+register("met.equity", lambda spark, sf: estats(spark, sf).select(*PS, *[(slog if c in WIDE else rnd)(c).alias(c) for c in EQ_COLS], "mdd_duration"),
+         f"{ESTAT_AGG} SELECT policy_id, sym AS symbol, {', '.join(f'{(s_slog if c in WIDE else r6)(c)} AS {c}' for c in EQ_COLS)}, dur::BIGINT AS mdd_duration FROM es")
 
 
 @query("met.exit_reason", "SELECT CASE WHEN l_returnflag = 'A' THEN 'SL' WHEN l_returnflag = 'N' THEN 'HORIZON' ELSE 'Other' END AS reason, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
@@ -491,7 +504,8 @@ register("met.cycles", lambda spark, sf: cycle_rows(spark, sf).select(*PS, big("
 register("met.pred_trades", lambda spark, sf: M.prediction_trades(pnl_frame(spark, sf), ["symbol"]).select("symbol", "n_trades", rnd("win_rate").alias("win_rate"), rnd("trade_score").alias("trade_score")),
          f"""{PNL_SQL}, pt AS (SELECT *, pred <> coalesce({lag('pred')}, 0) AND pred <> 0 AS st FROM {PNL}) SELECT symbol, count(*) FILTER (st)::BIGINT AS n_trades, {r6('coalesce(avg((pnl > 0)::INT) FILTER (pred <> 0), 0)')} AS win_rate,
   {r6('least(count(*) FILTER (st) / 100.0, 1.0)')} AS trade_score FROM pt GROUP BY 1""")
+PWIDE = ("total_return_pct",)
 PM = {"total_return_pct": "(arg_max(eq, bar_idx) - 1) * 100", "mdd_pct": "min(eq / pk - 1) * 100", "volatility_pct": "stddev_samp(ur) * 100",
       "reward_risk": "coalesce(avg(ur) FILTER (ur > 0), 0) / (abs(avg(ur) FILTER (ur < 0)) + 1e-9::DOUBLE)", "stop_loss_pct": "5.0"}
-register("met.pnl", lambda spark, sf: M.pnl_metrics(pnl_frame(spark, sf), ["symbol"]).select("symbol", *[rnd(c).alias(c) for c in PM]),
-         f"{PNL_SQL} SELECT symbol, {', '.join(f'{r6(e)} AS {c}' for c, e in PM.items())} FROM {PNL} GROUP BY 1")
+register("met.pnl", lambda spark, sf: M.pnl_metrics(pnl_frame(spark, sf), ["symbol"]).select("symbol", *[(slog if c in PWIDE else rnd)(c).alias(c) for c in PM]),
+         f"{PNL_SQL} SELECT symbol, {', '.join(f'{(s_slog if c in PWIDE else r6)(e)} AS {c}' for c, e in PM.items())} FROM {PNL} GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tickloom", cores: str | int = "*") -> SparkSession:
@@ -34,3 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, so it is computed once and its lineage ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
