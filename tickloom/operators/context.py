@@ -18,9 +18,9 @@ from tickloom.sources.bars import forward_fill, last_bars
 EPS8, EPS9 = 1e-8, 1e-9
 
 
-def with_columns_on(bars: DataFrame, build, grid: Grid = GRID, name: str = "ctx") -> DataFrame:
+def with_columns_on(bars: DataFrame, build, grid: Grid = GRID, name: str = "ctx", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Bars plus the columns a builder declares on a scope."""
-    scope = Scope(name)
+    scope = Scope(name, keys)
     cols = build(scope)
     done = {n: scope.let("out_" + n, e) for n, e in cols.items()}
     df = apply_layers(bars, [scope], grid)

@@ -94,13 +94,13 @@ def condition(rule: Rule) -> Column:
     return F.expr(rule.sql)
 
 
-def add_lags(df: DataFrame, cols: set) -> DataFrame:
-    """Previous value of each column as ``_lag_col`` (block by block)."""
+def add_lags(df: DataFrame, cols: set, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Previous value of each column as ``_lag_col``, group by group; the first bar of a key has none."""
     from tickloom.operators.context import with_columns_on
 
     if not cols:
         return df
-    return with_columns_on(df, lambda s: {f"_lag_{c}": s.lag(c) for c in sorted(cols)}, name="lag")
+    return with_columns_on(df, lambda s: {f"_lag_{c}": s.lag(c) for c in sorted(cols)}, name="lag", keys=keys)
 
 
 def add_quantiles(df: DataFrame, pairs: set, keys: list[str]) -> DataFrame:
@@ -197,9 +197,7 @@ def policy_signals(frame: DataFrame, policies: list[dict], stage_id: int = 1, ke
         rules["entry"] = rules.get("entry") or "true"
         compiled[p["policy_id"]] = {n: compile_rule(rules.get(n), frame.columns, registry) for n in names}
     every = [r for rs in compiled.values() for r in rs.values()]
-    out = add_lags(frame, set().union(*[r.lags for r in every]))
-    if "w_start" in frame.columns:  # the first bar of an evaluation window has no previous bar
-        out = out.withColumns({c: F.when(F.col("bar_idx") > F.col("w_start"), F.col(c)) for c in out.columns if c.startswith("_lag_")})
+    out = add_lags(frame, set().union(*[r.lags for r in every]), tuple(keys))
     out = add_quantiles(out, set().union(*[r.quantiles for r in every]), list(keys))
     rows = F.array(*[F.struct(F.lit(pid).alias("policy_id"), *[condition(rs[n]).alias(n) for n in names]) for pid, rs in compiled.items()])
     cols = [*keys, "bar_idx", *[k for k in keep if k not in keys]]

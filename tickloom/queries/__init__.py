@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feature_queries", "market_queries", "trading_queries", "result_queries", "report_queries", "document_queries", "ledger_queries")
+MODULES = ("feature_queries", "market_queries", "trading_queries", "result_queries", "report_queries", "document_queries", "ledger_queries", "plan_queries")
 
 
 def load_all() -> tuple[dict, dict]:
