@@ -37,8 +37,8 @@ def test_thresholds_and_missing_values(spark):
     assert got.e[2] and not got.e[1] and got.x[7] and not got.x[6]
     assert text_complexity("feature_a > 25") + text_complexity("feature_a > 75") == pytest.approx(3.4)
     holes = bars.withColumn("feature_a", F.when(F.col("bar_idx") != 2, F.col("feature_a")))
-    got = frame(evaluate_rules(holes, {"gt": "feature_a > 0", "ne": "feature_a != 5", "no": "not feature_a > 0"}))
-    assert not got.gt[2] and got.ne[2] and got.no[2]
+    got = frame(evaluate_rules(holes, {"above": "feature_a > 0", "other": "feature_a != 5", "inv": "not feature_a > 0"}))
+    assert not got.above[2] and got.other[2] and got.inv[2]
 
 
 def test_quantile_rule(spark):

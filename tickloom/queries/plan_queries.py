@@ -15,7 +15,7 @@ from tickloom.operators.context import regime_series
 from tickloom.operators.features import compute_genome
 from tickloom.plans import evaluate as E
 from tickloom.queries import demo as D
-from tickloom.queries.base import bars_d, query
+from tickloom.queries.base import ORACLE, bars_d, query
 from tickloom.queries.report_queries import voled
 from tickloom.queries.trading_queries import compare_inputs
 from tickloom.session import materialize
@@ -53,9 +53,10 @@ def scenarios(spark, sf):
     return res.join(label, ["symbol", "window_id"]).select("policy_id", "symbol", "window_id", "regime_label", rnd("score", 3).alias("score"), rnd("avg_alpha", 3).alias("avg_alpha"))
 
 
-@query("pipe.calibration")
+@query("pipe.calibration", ORACLE["bt.compare_trades"])
 def calibration(spark, sf):
-    return BT.compare_trades(*compare_inputs(spark, sf), ["symbol"])
+    """Signals, intrabar engine, account equity and the comparison report in one go."""
+    return BT.compare_trades(*compare_inputs(spark, sf), ["symbol"]).select("symbol", "n_ref", "n_got", "mismatch", F.col("trade_no").cast("bigint").alias("trade_no"))
 
 
 @query("sel.two_stage")

@@ -509,3 +509,23 @@ PM = {"total_return_pct": "(arg_max(eq, bar_idx) - 1) * 100", "mdd_pct": "min(eq
       "reward_risk": "coalesce(avg(ur) FILTER (ur > 0), 0) / (abs(avg(ur) FILTER (ur < 0)) + 1e-9::DOUBLE)", "stop_loss_pct": "5.0"}
 register("met.pnl", lambda spark, sf: M.pnl_metrics(pnl_frame(spark, sf), ["symbol"]).select("symbol", *[(slog if c in PWIDE else rnd)(c).alias(c) for c in PM]),
          f"{PNL_SQL} SELECT symbol, {', '.join(f'{(s_slog if c in PWIDE else r6)(e)} AS {c}' for c, e in PM.items())} FROM {PNL} GROUP BY 1")
+
+
+WIN_COLS = ["win_rate", "profit_factor", "reward_risk", "trades_per_year"]
+
+
+def window_row(spark, sf):
+    """Trade, equity and cycle metrics of each policy and symbol in one row; everything reads one materialised signal grid."""
+    pos, trades = D.engine_positions(spark, sf)
+    tot = pos.groupBy(*D.KEYS).agg(F.count(F.lit(1)).alias("bars_total"))
+    t = trades.withColumn("ret", F.col("return_pct") / 100)
+    ts = M.trade_stats(t, tot, D.KEYS)
+    eq = M.equity_stats(BT.bar_returns(pos, D.KEYS).filter("bar_idx > 0"), D.KEYS, "strategy_return", "position")
+    cy = M.cycle_stats(M.cycles(trades, tot, D.KEYS), tot, D.KEYS).select(*D.KEYS, "cycle_count", "avg_hold_bars")
+    return ts.join(eq, D.KEYS).join(cy, D.KEYS)
+
+
+register("met.window", lambda spark, sf: window_row(spark, sf).select(*PS, big("trade_count"), big("cycle_count"), *[rnd(c).alias(c) for c in WIN_COLS], rnd("avg_hold_bars").alias("avg_hold_bars"), rnd("vol_pct").alias("vol_pct"), rnd("max_drawdown_pct").alias("max_drawdown_pct")),
+         f"""WITH RECURSIVE {TSTAT_SQL.removeprefix('WITH RECURSIVE ')}, {CYC_SQL[CYC_SQL.index('cy AS ('):]}, {ESTAT_AGG[ESTAT_AGG.index('c0 AS '):]}
+  SELECT tj.policy_id, tj.sym AS symbol, coalesce(tj.n, 0)::BIGINT AS trade_count, coalesce(cc, 0)::BIGINT AS cycle_count, {', '.join(f'{r6(TS_EXPR[c].replace("n IS", "tj.n IS").replace("coalesce(n,", "coalesce(tj.n,").replace("bars_total", "tj.bars_total"))} AS {c}' for c in WIN_COLS)},
+  {r6('coalesce(ah, 0)')} AS avg_hold_bars, {r6('vol_pct')} AS vol_pct, {r6('max_drawdown_pct')} AS max_drawdown_pct FROM tj JOIN cj USING (symbol) JOIN es USING (symbol)""")
