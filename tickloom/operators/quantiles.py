@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
+
 SLOTS = 1024
 
 
@@ -19,6 +21,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, floa
         F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])).alias("_e"))
     counts = (long.select(*keys, "_e.col", "_e.v").filter(F.col("v").isNotNull())
               .groupBy(*keys, "col", "v").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(counts)  # read four times below
     stats = counts.groupBy(*keys, "col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     rel = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
     slotted = counts.join(stats, [*keys, "col"]).select(*keys, "col", "v", "n", F.floor(rel * (SLOTS - 1)).alias("slot"))
@@ -31,6 +34,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, floa
     ranks = ranks.select(*keys, "col", "q", pos.alias("pos"), F.explode(F.array(F.floor(pos), F.ceil(pos))).alias("rank")).distinct()
     located = ranks.join(by_slot, [*keys, "col"]).filter(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("sn")))
+    located = materialize(located)  # a few rows per wanted quantile
     needed = located.select(*keys, "col", "slot", "before").distinct()
     inside = Window.partitionBy(*keys, "col", "slot").orderBy("v")
     placed = slotted.join(needed, [*keys, "col", "slot"]).withColumn("first", F.col("before") + F.sum("n").over(inside) - F.col("n"))
