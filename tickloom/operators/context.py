@@ -69,7 +69,7 @@ def context_features(bars: DataFrame, grid: Grid = GRID) -> DataFrame:
             "CTX_VOLUME": clip(F.col("volume") / (s.avg("volume", 20) + EPS8) / 3, 0, 1),
         }
 
-    return forward_fill(with_columns_on(df, build, grid).drop("n_bars"), CTX, grid=grid)
+    return forward_fill(materialize(with_columns_on(df, build, grid).drop("n_bars")), CTX, grid=grid)
 
 
 INJECTED = ["_CTX_TrendScore", "_CTX_VolRatio", "_CTX_PVCorr", "_CTX_ShockFlag"]
@@ -186,7 +186,7 @@ def state_features(bars: DataFrame, grid: Grid = GRID) -> DataFrame:
             "regime_score": (1 - clip(vix / 50, 0, 1)) * 0.4 + clip(trend, -1, 1) * 0.4 + F.coalesce(corr, F.lit(0.0)) * 0.2,
         }
 
-    return forward_fill(with_columns_on(bars, build, grid), STATE, grid=grid)
+    return forward_fill(materialize(with_columns_on(bars, build, grid)), STATE, grid=grid)
 
 
 def state_scaler(features: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.num import c, div
 from tickloom.operators.blocks import GRID, Grid, core_only, group_window, with_halo
 from tickloom.operators.scan import RunLength, Scan, run_scans
+from tickloom.session import materialize
 
 
 @dataclass
@@ -32,6 +33,7 @@ class Scope:
     def __init__(self, prefix: str, keys: tuple[str, ...] = ("symbol",)):
         self.prefix = prefix
         self.layers: list[Layer] = []
+        self.keys = keys
         self.win = group_window(keys)
         self._look = 0
 
@@ -173,6 +175,7 @@ class State:
 
 def apply_layers(bars: DataFrame, scopes: list[Scope], grid: Grid = GRID, keep: list[str] | None = None) -> DataFrame:
     """Evaluate the merged layers of several scopes over bars."""
+    keys = scopes[0].keys
     queue = [list(s.layers) for s in scopes]
     plan: list[tuple[str, dict, int]] = []
     while any(queue):
@@ -192,8 +195,15 @@ def apply_layers(bars: DataFrame, scopes: list[Scope], grid: Grid = GRID, keep:
             parts[-1] += look
     halo = grid.halo_for(parts) if max(parts) > 0 else 0
     df = with_halo(bars, halo, grid)
+    passes = 0
     for kind, cols, _ in plan:
-        df = df.withColumns(cols) if kind == "win" else run_scans(df, list(cols.values()), halo=halo, grid=grid)
+        if kind == "win":
+            df = df.withColumns(cols)
+            continue
+        if passes:  # a pass reads its input twice; without this a second pass would double all work below it
+            df = materialize(df)
+        passes += 1
+        df = run_scans(df, list(cols.values()), keys, halo=halo, grid=grid)
     return core_only(df)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.num import div
 from tickloom.operators.blocks import GRID, Grid, running, with_bar_idx
+from tickloom.session import materialize
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 KLINE_SCHEMA = "array<array<string>>"
@@ -113,7 +114,7 @@ def clean(bars: DataFrame, grid: Grid = GRID) -> DataFrame:
 def context_join(bars: DataFrame, context: DataFrame, grid: Grid = GRID) -> DataFrame:
     """Left join of ``<name>_close`` columns on the bar time, forward filled, then zero filled."""
     cols = [c for c in context.columns if c != "ts"]
-    return forward_fill(bars.join(context, "ts", "left"), cols, grid=grid)
+    return forward_fill(materialize(bars.join(context, "ts", "left")), cols, grid=grid)
 
 
 def asof_join(bars: DataFrame, series: DataFrame, grid: Grid = GRID) -> DataFrame:
