@@ -84,7 +84,7 @@ def rule_complexity(spark, sf):
 def rule_coverage(spark, sf):
     p = table(spark, sf, "part")
     col = F.concat(F.lit("F"), (F.col("p_size") % 6).cast("string"), F.lit("__"), F.when((F.col("p_size") % 6 == 2) & (F.col("p_size") % 4 == 0), "b").otherwise("a"))
-    cols = p.select(col.alias("column_name")).distinct().unionByName(p.limit(1).select(F.lit("F4").alias("column_name")))
+    cols = p.select(col.alias("column_name")).distinct().unionByName(spark.range(1).select(F.lit("F4").alias("column_name")))
     refs = conditions(spark, sf).select("policy_id", F.col("feature").alias("feature_key"))
     return R.coverage(refs, cols).withColumn("match_rate", rnd("match_rate"))
 
@@ -123,11 +123,11 @@ register("sig.rsi_reversion", lambda spark, sf: R.evaluate_rules(compute_genome(
 def predictions(spark, sf):
     """Sparse per-bar predictions from orders: +1 / 0 / -1 by the sign of the day's average price change."""
     o = table(spark, sf, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("p"), F.count(F.lit(1)).alias("n"))
-    return o.filter("n % 3 <> 0").select("ts", F.when(F.col("p") > 155000, 1).when(F.col("p") < 145000, -1).otherwise(0).alias("pred"))
+    return o.filter("n > 4").select("ts", F.when(F.col("p") > 155000, 1).when(F.col("p") < 145000, -1).otherwise(0).alias("pred"))
 
 
 PRED_SQL = """preds AS (SELECT ts, CASE WHEN p > 155000 THEN 1 WHEN p < 145000 THEN -1 ELSE 0 END AS pred FROM (
-  SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1) WHERE n % 3 <> 0),
+  SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1) WHERE n > 4),
 psig AS MATERIALIZED (SELECT b.*, coalesce(p.pred, 0) AS signal FROM bars b LEFT JOIN preds p USING (ts))"""
 
 
@@ -225,14 +225,8 @@ acts AS (SELECT *, CASE WHEN entry AND exit THEN 'CONFLICT_ENTRY_EXIT' END AS in
 
 def flags(spark, sf):
     pos, _ = D.engine_positions(spark, sf)
-
-    def build(s):
-        return {"prev_position": F.coalesce(s.lag("position"), F.lit(0))}
-    from tickloom.operators.features import Scope, apply_layers
-    scope = Scope("fl", tuple(D.KEYS))
-    prev = scope.let("prev", F.coalesce(scope.lag("position"), F.lit(0)))
-    df = apply_layers(pos, [scope]).select(*pos.columns, prev.alias("prev_position"))
-    return BT.action_flags(df)
+    before = lambda s: {"prev_position": F.coalesce(s.lag("position"), F.lit(0))}
+    return BT.action_flags(C.with_columns_on(pos, before, keys=tuple(D.KEYS)))
 
 
 @query("bt.action_audit", f"""{D.RUN_SQL}, {FLAG_SQL} SELECT policy_id, sym AS symbol, count(*) FILTER (entry OR exit)::BIGINT AS total_action_bars, count(inv)::BIGINT AS invalid_count,
@@ -439,7 +433,7 @@ PS = ["policy_id", "symbol"]
 
 def totals(spark, sf):
     n = bars_d(spark, sf).groupBy("symbol").agg((F.max("bar_idx") + 1).alias("bars_total"))
-    return n.crossJoin(D.policy_params(spark).select("policy_id"))
+    return n.withColumn("policy_id", F.explode(F.array(*[F.lit(p["policy_id"]) for p in D.POLICIES])))
 
 
 TS_COLS = ["win_rate", "avg_win", "avg_loss", "profit_factor", "expectancy", "reward_risk", "top1_share", "top3_share", "trades_per_year", "act_rate"]
