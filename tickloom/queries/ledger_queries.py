@@ -117,10 +117,10 @@ register("snk.prune", lambda spark, sf: L.prune(records(spark, sf), 100).select(
 @query("snk.ledger", f"WITH {REC_SQL} SELECT regime, count(*)::BIGINT AS n FROM rec GROUP BY 1")
 def snk_ledger(spark, sf):
     """Append to a partitioned parquet ledger below the checkpoint folder and read it back."""
-    from tickloom.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
     import uuid
-    path = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+
+    from tickloom.session import shared_folder
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     r = records(spark, sf).select("exp_id", "regime", "eval_score", (F.length("regime") % 4).alias("stage"))
     L.append(r, path)
     return spark.read.parquet(path).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +24,7 @@ def get_spark(app: str = "tickloom", cores: str | int = "*") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,16 +45,21 @@ def ship(spark: SparkSession) -> None:
     sc._tickloom_shipped = True
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back only when none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a folder of its own only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(shared)
+    return shared.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several branches read, so it is computed once and its lineage ends."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Checkpoint an intermediate result that several branches read, so it is computed once and its lineage ends."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
