@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -119,3 +119,10 @@ class Words:
         for x in self.hash[self.first[i] : self.first[i + 1]].tolist():
             out = (out * BASE + x) & MASK64
         return out
+
+
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """An ordered key of each row: doc_id and, only where some doc_id repeats, a digest of the text (else 0)."""
+    again = docs.groupBy(F.col(doc_id).cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND d IS NOT NULL").limit(1).count()
+    digest = F.coalesce(F.xxhash64(text), F.lit(0)) if again else F.lit(0).cast("long")
+    return F.struct(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("x"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import map_arrow, tune
+from tickloom.llm.common import map_arrow, row_key, tune
 from tickloom.session import materialize
 
 TRIM = " \t\r"
@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, run: int = 2) -> DataFrame:
     names = docs.columns
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text, doc_id = (F.col(f"c{names.index(c)}") for c in ("text", "doc_id"))
-    base = base.withColumn("_row", F.struct(doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("x")))
+    base = base.withColumn("_row", row_key(base, f"c{names.index('doc_id')}", f"c{names.index('text')}"))
     runs = repeated_lines(base.filter(doc_id.isNotNull()).select("_row", text.alias("text")), run)
     # texts without a run don't leave the JVM
     joined = base.join(runs, "_row", "left").withColumn("_cut", _cut(F.when(F.col("runs").isNotNull(), text), F.col("runs")))
