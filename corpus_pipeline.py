@@ -24,27 +24,31 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbour vote accepts; learned from the labels of folds 1 to 4 of 5."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=~fold)
-    return quality.score(docs, model, docs.columns).filter(F.col("score") >= THRESHOLD).drop("score")
+    return _columns(quality.score(docs, model, docs.columns, "_quality").filter(F.col("_quality") >= THRESHOLD), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(docs).filter(~((F.col("_n_removed") > 0) & F.col("text").rlike(BLANK)))
-    return _sized(out.select(*docs.columns))
+    return _sized(_columns(out, docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest doc_id."""
     gone = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _columns(docs.join(gone, "doc_id", "left_anti"), docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = substring.dedup_substrings(docs).filter(~(F.col("_removed").isNotNull() & F.col("text").rlike(BLANK)))
-    return _sized(out.select(*docs.columns))
+    return _sized(_columns(out, docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,8 +87,6 @@ class Codec:
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
         rest, raw = [], []
         for w in words:
             b = w.encode("utf-8", "surrogatepass")
@@ -110,12 +108,10 @@ class Codec:
                 group.append(self.find(texts[i]))
                 size += len(texts[i])
                 i += 1
-            new = {w for words in group for w in words if w not in self.memo}
-            if new:
-                known = len(self.memo)
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            if new := {w for words in group for w in words if w not in self.memo}:
                 self._learn(new)
-                if len(self.memo) < known + len(new):  # the memo was emptied: learn the rest of the group again
-                    self._learn({w for words in group for w in words if w not in self.memo})
             get = self.memo.__getitem__
             out += [b"".join(map(get, words)) for words in group]
         return out

@@ -95,7 +95,7 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
 def dedup_lines(docs: DataFrame, run: int = 2) -> DataFrame:
     """The columns of docs with text cut, and _n_lines (before) and _n_removed."""
     tune(docs.sparkSession)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]  # columns of these names are replaced
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text, doc_id = (F.col(f"c{names.index(c)}") for c in ("text", "doc_id"))
     base = base.withColumn("_row", row_key(base, f"c{names.index('doc_id')}", f"c{names.index('text')}"))

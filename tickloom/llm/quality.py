@@ -146,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
     return Model(x, np.array([r["doc_id"] for r in made], np.int64), np.array([r["_label"] for r in made], np.int64))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id) and the score of every text."""
-    keep = keep or ["doc_id"]
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (doc_id) and the score of every text; a column of the score's name is replaced."""
+    keep = [c for c in keep or ["doc_id"] if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = {f.name: f for f in docs.schema}
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
@@ -161,4 +161,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         return pa.record_batch([*[batch.column(c) for c in names], pa.array(out)], [*names, "score"])
 
     made = map_arrow(rows, run, f"{schema}, score double")
-    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return made.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))

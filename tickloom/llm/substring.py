@@ -120,7 +120,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """The columns of docs with text cut, and _removed: array of the removed (start, end) in the original text."""
     tune(docs.sparkSession)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("_removed",)]  # columns of these names are replaced
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text, doc_id = (f"c{names.index(c)}" for c in ("text", "doc_id"))
     base = base.withColumn("_row", row_key(base, doc_id, text))
