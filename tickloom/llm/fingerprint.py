@@ -128,10 +128,10 @@ def text_of(codes: np.ndarray) -> bytes:
     return codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
-FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
           ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_edited", pa.int64())]
 EDGE = [("_range", pa.int32()), ("_edge", pa.string()), ("text", pa.string())]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, common_edited long"
 
 
 class Row:
@@ -154,7 +154,7 @@ class Row:
         else:  # then the text itself has as many code points
             low = np.minimum(self.low, minima(prefix.spans(SPAN, self.inside)))
         other = sketch(low)
-        return (self.doc_id, self.n, hashlib.sha256(text_of(codes)).hexdigest(), self.sketch.astype(">u4").tobytes().hex(), other.astype(">u4").tobytes().hex(),
+        return (self.doc_id, self.n, hashlib.sha256(text_of(codes)).digest(), self.sketch.astype(">u4").tobytes(), other.astype(">u4").tobytes(),
                 likeness(self.sketch, other), likeness(self.sketch, following.sketch), common_extension(self.prefix, 0, prefix, 0))
 
 
@@ -204,4 +204,5 @@ def fingerprint_edits(docs: DataFrame, partitions: int | None = None) -> DataFra
                 yield _batch([Row(i, t).against(Row(None, x)) for i, t, x in zip(*cols, strict=True)], FIELDS)
 
     closed = lasts.join(firsts, "_no").select("doc_id", "text", "next_text").mapInArrow(close, SCHEMA)
-    return made.filter("_edge IS NULL").select(*[n for n, _ in FIELDS]).unionByName(closed)
+    out = made.filter("_edge IS NULL").select(*[n for n, _ in FIELDS]).unionByName(closed)
+    return out.select(*[F.lower(F.hex(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in FIELDS])
