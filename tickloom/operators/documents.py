@@ -9,13 +9,18 @@ from tickloom.functions.num import div
 from tickloom.session import materialize
 
 UNICODE = "(?U)"  # word boundaries and spaces as in Unicode, whatever the Java version
+# Fixed value: the pattern of entity phrases.
 PHRASE = r"\b[A-Z][a-zA-Z0-9&-]+(?:\s+[A-Z][a-zA-Z0-9&-]+){0,2}\b"
 # Single words that are never entities.
 NOT_ENTITIES = ["The", "This", "That", "With", "From", "Into", "And", "For", "A", "An"]
+# Phrases that are never entities in any case.
+NOT_PHRASES = ["the", "and", "for"]
+# Words in a chunk and words shared with the next, entities of a chunk, least similarity that passes activation, least activation of the context.
+CHUNK_WORDS, CHUNK_OVERLAP, MAX_ENTITIES, MIN_SIMILARITY, MIN_ACTIVATION = 500, 200, 6, 0.4, 0.5
 TOKEN = "[a-z0-9_]{2,}"
 
 
-def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+def chunks(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Overlapping word windows of each document."""
     step = max(1, size - overlap)
     words = docs.select("doc_id", F.filter(F.split(F.col("text"), UNICODE + r"\s+"), lambda w: w != "").alias("w"))
@@ -24,16 +29,18 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     return one.select("doc_id", "chunk_no", F.concat("doc_id", F.lit("_"), "chunk_no").alias("chunk_id"), F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.lit(size))).alias("text"))
 
 
-def entities(ch: DataFrame, cap: int = 20) -> DataFrame:
+def entities(ch: DataFrame, cap: int = MAX_ENTITIES) -> DataFrame:
     """Capitalised phrases in first-seen order, at most ``cap`` per chunk; else the three most frequent longer words."""
-    phrases = F.filter(F.regexp_extract_all("text", F.lit(UNICODE + PHRASE), F.lit(0)), lambda p: ~p.isin(NOT_ENTITIES) & ~F.lower(p).isin("the", "and", "for"))
+    phrases = F.filter(F.regexp_extract_all("text", F.lit(UNICODE + PHRASE), F.lit(0)), lambda p: ~p.isin(NOT_ENTITIES) & ~F.lower(p).isin(NOT_PHRASES))
     words = F.regexp_extract_all(F.lower("text"), F.lit(UNICODE + r"\b[a-zA-Z]{4,}\b"), F.lit(0))
     df = ch.select("doc_id", "chunk_no", "chunk_id", "text", F.slice(F.array_distinct(phrases), 1, cap).alias("p"), words.alias("_w"))
     found = df.filter(F.size("p") > 0).select("doc_id", "chunk_no", "chunk_id", "text", F.posexplode("p").alias("pos", "entity"))
-    rare = df.filter(F.size("p") == 0).select("doc_id", "chunk_no", "chunk_id", "text", F.posexplode("_w").alias("i", "word"))
-    freq = rare.groupBy("doc_id", "chunk_no", "chunk_id", "text", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    # words are counted by chunk id alone; the text joins what is left of them
+    rare = df.filter(F.size("p") == 0)
+    freq = rare.select("chunk_id", F.posexplode("_w").alias("i", "word")).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
     rank = Window.partitionBy("chunk_id").orderBy(F.col("n").desc(), "first")
-    fallback = freq.withColumn("pos", F.row_number().over(rank) - 1).filter("pos < 3").select("doc_id", "chunk_no", "chunk_id", "text", "pos", F.initcap("word").alias("entity"))
+    top = freq.withColumn("pos", F.row_number().over(rank) - 1).filter("pos < 3").select("chunk_id", "pos", F.initcap("word").alias("entity"))
+    fallback = rare.select("doc_id", "chunk_no", "chunk_id", "text").join(top, "chunk_id").select("doc_id", "chunk_no", "chunk_id", "text", "pos", "entity")
     return found.unionByName(fallback)
 
 
@@ -45,7 +52,8 @@ def describe(entity: Column, text: Column) -> Column:
 
 def entity_descriptions(ent: DataFrame) -> DataFrame:
     """Description of every entity from the first chunk that mentions it."""
-    first = ent.groupBy("entity").agg(F.min_by("text", F.struct("doc_id", "chunk_no")).alias("text"))
+    first = ent.groupBy("entity").agg(F.min(F.struct("doc_id", "chunk_no")).alias("at")).select("entity", "at.*")
+    first = first.join(ent.select("entity", "doc_id", "chunk_no", "text"), ["entity", "doc_id", "chunk_no"]).dropDuplicates(["entity"])
     return first.select("entity", describe(F.col("entity"), F.col("text")).alias("description"))
 
 
@@ -78,7 +86,7 @@ def tfidf(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = texts.agg(F.sum("m").alias("n_texts"))
     idf = tf.groupBy("term").agg(F.sum("m").alias("df")).join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n_texts")) / (1.0 + F.col("df"))) + 1).alias("idf"))
     idf = materialize(idf)
-    raw = tf.join(idf, "term").select("text_key", "term", (F.col("tf") * F.col("idf")).alias("x"))
+    raw = materialize(tf.join(idf, "term").select("text_key", "term", (F.col("tf") * F.col("idf")).alias("x")))
     norm = raw.groupBy("text_key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     return raw.join(norm, "text_key").select("text_key", "term", div("x", "len").alias("weight")), idf
 
@@ -113,19 +121,25 @@ def n_hop(start: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return seen
 
 
-def activate(sub: DataFrame, start: DataFrame, edges: DataFrame, sims: DataFrame, rounds: int = 3, c: float = 0.1) -> DataFrame:
-    """Activation after synchronous rounds: a = min(1, a + sum of a_src * weight) along distinct edges inside the subgraph."""
+def activate(sub: DataFrame, start: DataFrame, edges: DataFrame, sims: DataFrame, c: float = MIN_SIMILARITY, tolerance: float = 1e-6) -> DataFrame:
+    """Activation after synchronous rounds: a = min(1, a + sum of a_src * weight) along distinct edges inside the subgraph.
+
+    Rounds go on until no activation moves by more than the tolerance; activations only grow and end at 1, so they end.
+    """
     w = F.least(F.lit(1.0), (F.col("cos") - c) / (1 - c))
     live = edges.withColumn("text_key", F.xxhash64("text")).join(sims.filter(F.col("cos") > c), "text_key").select("src", "dst", w.alias("w"))
     live = materialize(live.join(sub.select(F.col("id").alias("dst")), "dst", "left_semi").join(sub.select(F.col("id").alias("src")), "src", "left_semi"))
     act = materialize(sub.join(start.select("id", F.lit(1.0).alias("a")), "id", "left").select("id", F.coalesce("a", F.lit(0.0)).alias("a")))
-    for _ in range(rounds):
+    while True:
         push = live.join(act.filter("a > 0"), live.src == act.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("a")).alias("g"))
-        act = materialize(act.join(push, "id", "left").select("id", F.least(F.lit(1.0), F.col("a") + F.coalesce("g", F.lit(0.0))).alias("a")))
-    return act
+        after = F.least(F.lit(1.0), F.col("a") + F.coalesce("g", F.lit(0.0)))
+        moved = materialize(act.join(push, "id", "left").select("id", after.alias("a"), (after - F.col("a")).alias("_move")))
+        act = moved.select("id", "a")
+        if not moved.filter(F.col("_move") > tolerance).limit(1).count():
+            return act
 
 
-def context(act: DataFrame, edges: DataFrame, threshold: float = 0.2, relations: int = 20, max_chunks: int = 6) -> DataFrame:
+def context(act: DataFrame, edges: DataFrame, threshold: float = MIN_ACTIVATION, relations: int = 20, max_chunks: int = 6) -> DataFrame:
     """First relation texts (sorted) and neighbouring chunks of the activated nodes."""
     near = act.filter(F.col("a") >= threshold).join(edges, act.id == edges.src).select("text", "dst")
     rel = near.select(F.lit("relation").alias("kind"), F.col("text").alias("value")).distinct().orderBy("value").limit(relations)

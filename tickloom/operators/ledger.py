@@ -14,14 +14,14 @@ CATEGORIES = ("TREND", "MOMENTUM", "VOLATILITY", "VOLUME", "PRICE_ACTION", "PATT
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Experiments from JSON lines; malformed lines are dropped."""
-    return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)
+    """Experiments from a file of JSON lines; malformed lines are dropped, whichever columns are read."""
+    return parse_ledger(spark.read.text(path))
 
 
 def parse_ledger(lines: DataFrame, col: str = "value") -> DataFrame:
     """The same for lines already in a table."""
-    rec = F.from_json(F.col(col), RECORD, {"mode": "PERMISSIVE"})
-    return lines.select(rec.alias("r")).filter(F.col("r.exp_id").isNotNull()).select("r.*")
+    rec = F.from_json(F.col(col), RECORD + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(rec.alias("r")).filter(F.col("r._corrupt_record").isNull() & F.col("r.exp_id").isNotNull()).select("r.*").drop("_corrupt_record")
 
 
 def recent(df: DataFrame, n: int, order: str = "timestamp", tie: str = "exp_id") -> DataFrame:

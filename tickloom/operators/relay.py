@@ -67,7 +67,7 @@ def _emit_fn(machine: Machine, keys: list[str], idx: str, param_keys: list[str],
 
 def relay(df: DataFrame, machine: Machine, out_schema: str, keys: tuple[str, ...] = ("symbol",), idx: str = "bar_idx",
           params: DataFrame | None = None, param_keys: tuple[str, ...] = (), block: int = BLOCK,
-          max_rounds: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+          tolerance: float = 1e-12) -> DataFrame:
     """Run ``machine`` over ``df`` ordered by ``idx`` per ``keys``.
 
     ``params`` multiplies every key by its parameter rows (joined on the shared key columns, identified
@@ -88,7 +88,7 @@ def relay(df: DataFrame, machine: Machine, out_schema: str, keys: tuple[str, ...
     plan = plan.select(*[F.col(c).alias(c) for c in plan.columns])  # fresh attributes for the cogroup with data
     many = blocks.filter(F.col("_hi") > 0).limit(1).count() > 0
     if many:
-        plan = _settle(data, plan, machine, keys_l, idx, param_cols, pk, max_rounds, tolerance)
+        plan = _settle(data, plan, machine, keys_l, idx, param_cols, pk, tolerance)
     out_cols = [p.strip().split(" ")[0] for p in out_schema.split(",")]
     types = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
     schema = ", ".join([f"`{k}` {types[k]}" for k in [*keys_l, *pk]] + [out_schema])
@@ -99,8 +99,8 @@ def relay(df: DataFrame, machine: Machine, out_schema: str, keys: tuple[str, ...
 
 
 def _settle(data: DataFrame, plan: DataFrame, machine: Machine, keys: list[str], idx: str, param_cols: list[str],
-            pk: list[str], max_rounds: int, tolerance: float) -> DataFrame:
-    """Iterate arrival states to the fixpoint."""
+            pk: list[str], tolerance: float) -> DataFrame:
+    """Iterate arrival states to the fixpoint. Each round settles at least one more block of a key, so this ends."""
     types = {f.name: f.dataType.simpleString() for f in plan.schema.fields}
     cols = [*keys, *param_cols, BLK, "_last", "_arrive"]
     schema = ", ".join([f"`{c}` {types[c]}" for c in cols] + ["`_depart` array<double>"])
@@ -112,7 +112,7 @@ def _settle(data: DataFrame, plan: DataFrame, machine: Machine, keys: list[str],
     states = materialize(run(plan, data))
     before = Window.partitionBy(*keys, *pk).orderBy(BLK)
     same = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance * F.greatest(F.lit(1.0), F.abs(x))), lambda ok: ok)
-    for _ in range(max_rounds):
+    while True:
         nxt = states.withColumn("_want", F.lag("_depart").over(before))
         stale = F.col("_want").isNotNull() & (F.col("_arrive").isNull() | ~same(F.col("_arrive"), F.col("_want")))
         marked = nxt.withColumn("_stale", F.coalesce(stale, F.lit(False)))
@@ -121,7 +121,6 @@ def _settle(data: DataFrame, plan: DataFrame, machine: Machine, keys: list[str],
             return states.select(*cols)
         again = run(todo, data.join(todo.select(*keys, BLK).distinct(), [*keys, BLK], "left_semi"))
         states = materialize(marked.filter(~F.col("_stale")).select(*cols, "_depart").unionByName(again.select(*cols, "_depart")))
-    raise RuntimeError("state relay did not settle")
 
 
 def first_at_or_after(sorted_idx: np.ndarray, pos: int) -> int | None:

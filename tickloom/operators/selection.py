@@ -102,7 +102,7 @@ def diverse_top_k(scored: DataFrame, genes: DataFrame, params: DataFrame, k: int
     return spark.createDataFrame([(i + 1, p, float(g)) for i, (p, g) in enumerate(chosen)], "rank int, policy_id string, gain double")
 
 
-def filter_diverse(candidates: DataFrame, genes: DataFrame, compatibility: DataFrame, jaccard_max: float = 0.8, floor: float = -0.3, rounds: int = 100) -> DataFrame:
+def filter_diverse(candidates: DataFrame, genes: DataFrame, compatibility: DataFrame, jaccard_max: float = 0.8, floor: float = -0.3) -> DataFrame:
     """Sequential filter in ``ord``: keep a candidate unless it conflicts or is too similar to one kept before.
 
     Equivalent to the lexicographically first maximal independent set: a candidate is kept once all earlier
@@ -113,7 +113,7 @@ def filter_diverse(candidates: DataFrame, genes: DataFrame, compatibility: DataF
     o1, o2 = ok.toDF("p1", "o1"), ok.toDF("p2", "o2")
     earlier = materialize(edges.join(o1, "p1").join(o2, "p2").filter(F.col("o2") < F.col("o1")).select("p1", "p2"))
     state = materialize(ok.withColumn("s", F.lit(0)))  # 0 open, 1 kept, -1 dropped
-    for _ in range(rounds):
+    while True:  # the earliest open candidate settles in every round, so this ends
         seen = earlier.join(state.select(F.col("policy_id").alias("p2"), F.col("s").alias("s2")), "p2").groupBy("p1").agg(F.max("s2").alias("hi"), F.min("s2").alias("lo"), F.count_if(F.col("s2") == 0).alias("open"))
         nxt = state.join(seen, state.policy_id == seen.p1, "left").select(
             "policy_id", "ord", F.when(F.col("s") != 0, F.col("s")).when(F.col("hi") == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("s"))

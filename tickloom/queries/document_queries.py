@@ -12,15 +12,15 @@ from tickloom.session import materialize
 
 QUERY = "quality of the market data and the model"
 STOP = ", ".join(f"'{w}'" for w in D.NOT_ENTITIES)
-CHUNK_SQL = """wd AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), ch AS MATERIALIZED (SELECT doc_id, i AS chunk_no, doc_id || '_' || i AS chunk_id, array_to_string(w[i * 450 + 1: i * 450 + 500], ' ') AS text
-  FROM (SELECT doc_id, w, unnest(range((len(w) + 449) // 450)) AS i FROM wd WHERE len(w) > 0))"""
+CHUNK_SQL = """wd AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), ch AS MATERIALIZED (SELECT doc_id, i AS chunk_no, doc_id || '_' || i AS chunk_id, array_to_string(w[i * 300 + 1: i * 300 + 500], ' ') AS text
+  FROM (SELECT doc_id, w, unnest(range((len(w) + 299) // 300)) AS i FROM wd WHERE len(w) > 0))"""
 # RE2 knows ASCII word boundaries only: other letters become "_", a word character no entity contains.
 ASCII = r"regexp_replace({}, '[^\x00-\x7F\pP\pS\pZ\pM\pC]', '_', 'g')"
 ENT_SQL = CHUNK_SQL + f""", ph AS MATERIALIZED (SELECT *, list_filter(regexp_extract_all({ASCII.format('text')}, '{D.PHRASE}'), lambda p: p NOT IN ({STOP}) AND lower(p) NOT IN ('the', 'and', 'for')) AS p FROM ch),
 pd AS (SELECT doc_id, chunk_no, chunk_id, text, unnest(p) AS entity, generate_subscripts(p, 1) AS i FROM ph), pf AS (SELECT doc_id, chunk_no, chunk_id, text, entity, min(i) AS i FROM pd GROUP BY ALL), pr AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY i) - 1 AS pos FROM pf),
 wq AS (SELECT doc_id, chunk_no, chunk_id, text, unnest(regexp_extract_all({ASCII.format('lower(text)')}, '\\b[a-zA-Z]{{4,}}\\b')) AS word, generate_subscripts(regexp_extract_all({ASCII.format('lower(text)')}, '\\b[a-zA-Z]{{4,}}\\b'), 1) AS i FROM ph WHERE len(p) = 0),
 wf AS (SELECT doc_id, chunk_no, chunk_id, text, word, count(*) AS n, min(i) AS i FROM wq GROUP BY ALL), wr AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, i) - 1 AS pos FROM wf),
-ent AS MATERIALIZED (SELECT doc_id, chunk_no, chunk_id, text, pos, entity FROM pr WHERE pos < 20 UNION ALL SELECT doc_id, chunk_no, chunk_id, text, pos, upper(word[1]) || word[2:] FROM wr WHERE pos < 3)"""
+ent AS MATERIALIZED (SELECT doc_id, chunk_no, chunk_id, text, pos, entity FROM pr WHERE pos < 6 UNION ALL SELECT doc_id, chunk_no, chunk_id, text, pos, upper(word[1]) || word[2:] FROM wr WHERE pos < 3)"""
 DESC_SQL = ENT_SQL + """, fe AS (SELECT entity, first(text ORDER BY doc_id, chunk_no) AS text FROM ent GROUP BY 1), dsc AS MATERIALIZED (SELECT entity, entity || ': ' || coalesce(trim(list_filter(regexp_split_to_array(text, '[.!?]'), lambda s: contains(s, entity))[1]), substr(text, 1, 200)) AS description FROM fe)"""
 GRAPH_SQL = DESC_SQL + """, nodes AS MATERIALIZED (SELECT 'chunk:' || chunk_id AS id, 'chunk' AS type, text FROM ch UNION ALL SELECT 'entity:' || entity, 'entity', entity FROM dsc UNION ALL SELECT 'entity_desc:' || entity, 'entity_desc', description FROM dsc),
 e1 AS (SELECT 'chunk:' || chunk_id AS src, 'entity_desc:' || entity AS dst, 'mentions ' || entity AS text FROM ent UNION ALL SELECT 'entity:' || entity, 'entity_desc:' || entity, 'description of ' || entity FROM dsc
@@ -35,9 +35,9 @@ sims AS MATERIALIZED (SELECT text, sum(weight * q) AS cos FROM wt JOIN qv USING
 SEED_SQL = TFIDF_SQL + ", seeds AS MATERIALIZED (SELECT id, coalesce(cos, 0) AS score FROM nodes LEFT JOIN sims USING (text) WHERE type = 'entity_desc' ORDER BY round(coalesce(cos, 0), 9) DESC, id LIMIT 5)"
 HOP_SQL = SEED_SQL + """, h1 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM seeds JOIN edges ON src = id WHERE dst NOT IN (SELECT id FROM seeds)), h2 AS MATERIALIZED (SELECT DISTINCT dst AS id FROM h1 JOIN edges ON src = id WHERE dst NOT IN (SELECT id FROM seeds) AND dst NOT IN (SELECT id FROM h1)),
 sub AS MATERIALIZED (SELECT id, 0 AS hop FROM seeds UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
-_round = lambda i: f"a{i} AS MATERIALIZED (SELECT a.id, least(1.0, a.a + coalesce(g, 0)) AS a FROM a{i - 1} a LEFT JOIN (SELECT dst, sum(w * a) AS g FROM live JOIN a{i - 1} ON src = id GROUP BY 1) p ON dst = a.id)"
-ACT_SQL = HOP_SQL + ", live AS MATERIALIZED (SELECT src, dst, least(1.0, (cos - 0.1) / 0.9) AS w FROM edges JOIN sims USING (text) WHERE cos > 0.1 AND src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)), " + \
-    "a0 AS MATERIALIZED (SELECT id, CASE WHEN id IN (SELECT id FROM seeds) THEN 1.0 ELSE 0.0 END::DOUBLE AS a FROM sub), " + ", ".join(_round(i) for i in (1, 2, 3))
+# Activations only grow, so at the fixpoint whatever live edges reach from a seed is at 1.
+ACT_SQL = HOP_SQL + ", live AS MATERIALIZED (SELECT src, dst FROM edges JOIN sims USING (text) WHERE cos > 0.4 AND src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)), " + \
+    "reach AS (SELECT id FROM seeds UNION SELECT dst FROM live JOIN reach ON src = reach.id), act AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS a FROM reach)"
 
 
 def index(spark, sf):
@@ -80,6 +80,6 @@ def activated(spark, sf):
     return edges, D.activate(sub, start, edges, sims)
 
 
-register("doc.activate", lambda spark, sf: activated(spark, sf)[1].filter("a > 0").select("id", rnd("a").alias("a")), f"WITH {ACT_SQL} SELECT id, {r6('a')} AS a FROM a3 WHERE a > 0")
+register("doc.activate", lambda spark, sf: activated(spark, sf)[1].filter("a > 0").select("id", rnd("a").alias("a")), f"WITH RECURSIVE {ACT_SQL} SELECT id, {r6('a')} AS a FROM act")
 register("doc.context", lambda spark, sf: (lambda e, a: D.context(a, e))(*activated(spark, sf)),
-         f"WITH {ACT_SQL}, nr AS (SELECT text, dst FROM a3 JOIN edges ON src = id WHERE a >= 0.2) SELECT * FROM (SELECT DISTINCT 'relation' AS kind, text AS value FROM nr ORDER BY value LIMIT 20) UNION ALL SELECT * FROM (SELECT DISTINCT 'chunk' AS kind, dst AS value FROM nr WHERE starts_with(dst, 'chunk:') ORDER BY value LIMIT 6)")
+         f"WITH RECURSIVE {ACT_SQL}, nr AS (SELECT text, dst FROM act JOIN edges ON src = id WHERE a >= 0.5) SELECT * FROM (SELECT DISTINCT 'relation' AS kind, text AS value FROM nr ORDER BY value LIMIT 20) UNION ALL SELECT * FROM (SELECT DISTINCT 'chunk' AS kind, dst AS value FROM nr WHERE starts_with(dst, 'chunk:') ORDER BY value LIMIT 6)")

@@ -102,10 +102,25 @@ register("led.priors", lambda spark, sf: L.priors(importance(spark, sf)).select(
 def ledger_lines(spark, sf):
     r = records(spark, sf)
     body = F.to_json(F.struct("exp_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"), F.lit(1).alias("stage"), "regime", "template_id", "eval_score", "genome", "reason_codes", F.create_map(F.lit("win_rate"), F.col("win_rate")).alias("metrics")))
-    return r.select(F.when(F.col("exp_id").endswith("7"), F.lit('{"exp_id": broken')).otherwise(body).alias("value"))
+    wrong = F.regexp_replace(body, '"stage":1', '"stage":"oops"')  # one field of another type spoils the record
+    return r.select(F.when(F.col("exp_id").endswith("7"), F.lit('{"exp_id": broken')).when(F.col("exp_id").endswith("3"), wrong).otherwise(body).alias("value"))
 
 
-@query("src.ledger", f"WITH {REC_SQL} SELECT exp_id, regime, {r6('eval_score')} AS eval_score, len(reason_codes)::BIGINT AS n_reasons FROM rec WHERE exp_id NOT LIKE '%7'")
+LEDGER_SQL = f"WITH {REC_SQL} SELECT exp_id, regime, {r6('eval_score')} AS eval_score, len(reason_codes)::BIGINT AS n_reasons FROM rec WHERE exp_id NOT LIKE '%7' AND exp_id NOT LIKE '%3'"
+
+
+@query("src.ledger_file", LEDGER_SQL)
+def src_ledger_file(spark, sf):
+    """The same lines through a file of JSON lines in the shared folder."""
+    import uuid
+
+    from tickloom.session import shared_folder
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    ledger_lines(spark, sf).write.text(path)
+    return L.read_ledger(spark, path).select("exp_id", "regime", rnd("eval_score").alias("eval_score"), F.size("reason_codes").cast("bigint").alias("n_reasons"))
+
+
+@query("src.ledger", LEDGER_SQL)
 def src_ledger(spark, sf):
     return L.parse_ledger(ledger_lines(spark, sf)).select("exp_id", "regime", rnd("eval_score").alias("eval_score"), F.size("reason_codes").cast("bigint").alias("n_reasons"))
 

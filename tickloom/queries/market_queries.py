@@ -123,9 +123,14 @@ def prep_scenario(spark, sf):
     return rounded(B.zero_volume_scenario(B.uptrend_scenario(bars_h(spark, sf))), ["close", "volume"])
 
 
-@query("prep.signature")
+SIGNED = ["symbol", "ts", "bar_idx", "open", "high", "low", "close", "volume"]
+_text = {c: f"coalesce(round({c} * 1000000)::DECIMAL(38,0)::VARCHAR, '')" for c in SIGNED[3:]} | {"symbol": "coalesce(symbol, '')", "ts": "coalesce(epoch(ts)::BIGINT::VARCHAR, '')", "bar_idx": "coalesce(bar_idx::VARCHAR, '')"}
+
+
+@query("prep.signature", f"""WITH {BARS_H}, s AS (SELECT coalesce(sum(concat('0x', substr(md5({" || '|' || ".join(_text[c] for c in SIGNED)}), 1, 15))::BIGINT::HUGEINT), 0) AS s, count(*) AS n FROM bars)
+  SELECT sha256('{','.join(SIGNED)}|' || s) AS signature, n AS rows FROM s""")
 def prep_signature(spark, sf):
-    return B.signature(bars_h(spark, sf))
+    return B.signature(bars_h(spark, sf).select(*SIGNED))
 
 
 # -- 2.2 vector helpers ------------------------------------------------------------------------

@@ -182,15 +182,17 @@ def scored(spark, sf):
 
 
 def genes(spark, sf):
-    """Genome of a policy: size classes of the parts its supplier ships in large discounted lots."""
+    """Genome of a policy: the size classes of parts of which its supplier ships more than suppliers do on average."""
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 9).alias("f"))
-    l = table(spark, sf, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.08").select("l_suppkey", "l_partkey")
-    j = l.join(p, l.l_partkey == p.p_partkey)
-    return j.select(F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("policy_id"), F.concat(F.lit("G"), (F.col("f") % 3).cast("string"), F.lit("_F"), F.col("f").cast("string")).alias("feature")).distinct()
+    l = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    q = l.join(p, l.l_partkey == p.p_partkey).groupBy("l_suppkey", "f").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
+    mean = q.groupBy("f").agg(F.sum("q").alias("s"), F.count(F.lit(1)).alias("n"))
+    more = q.join(mean, "f").filter(F.col("q") * F.col("n") > F.col("s"))
+    return more.select(F.concat(F.lit("P"), F.col("l_suppkey").cast("string")).alias("policy_id"), F.concat(F.lit("G"), (F.col("f") % 3).cast("string"), F.lit("_F"), F.col("f").cast("string")).alias("feature"))
 
 
-GENES_SQL = """genes AS MATERIALIZED (SELECT DISTINCT 'P' || l_suppkey AS policy_id, 'G' || ((p_size % 9) % 3) || '_F' || (p_size % 9) AS feature FROM lineitem JOIN part ON p_partkey = l_partkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.08)"""
+GENES_SQL = """gq AS (SELECT l_suppkey, p_size % 9 AS f, sum(l_quantity::DECIMAL(18,2)) AS q FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), gm AS (SELECT f, sum(q) AS s, count(*) AS n FROM gq GROUP BY 1),
+genes AS MATERIALIZED (SELECT 'P' || l_suppkey AS policy_id, 'G' || (f % 3) || '_F' || f AS feature FROM gq JOIN gm USING (f) WHERE q * n > s)"""
 JAC_SQL = """gsz AS (SELECT policy_id, count(*) AS n FROM genes GROUP BY 1), jac AS MATERIALIZED (SELECT s.p1, s.p2, shared / (a.n + b.n - shared) AS j FROM (SELECT x.policy_id AS p1, y.policy_id AS p2, count(*) AS shared FROM genes x JOIN genes y USING (feature)
   WHERE x.policy_id <> y.policy_id GROUP BY ALL) s JOIN gsz a ON a.policy_id = p1 JOIN gsz b ON b.policy_id = p2)"""
 register("sel.genome_jaccard", lambda spark, sf: SEL.batch_similarity(genes(spark, sf)).select(rnd("avg_jaccard").alias("avg_jaccard"), rnd("collision_rate").alias("collision_rate")),

@@ -121,13 +121,13 @@ register("sig.rsi_reversion", lambda spark, sf: R.evaluate_rules(compute_genome(
 
 
 def predictions(spark, sf):
-    """Sparse per-bar predictions from orders: +1 / 0 / -1 by the sign of the day's average price change."""
-    o = table(spark, sf, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("p"), F.count(F.lit(1)).alias("n"))
-    return o.filter("n > 4").select("ts", F.when(F.col("p") > 155000, 1).when(F.col("p") < 145000, -1).otherwise(0).alias("pred"))
+    """Daily predictions from all orders: +1 / 0 / -1 by the day's average price."""
+    o = table(spark, sf, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("p"))
+    return o.select("ts", F.when(F.col("p") > 155000, 1).when(F.col("p") < 145000, -1).otherwise(0).alias("pred"))
 
 
 PRED_SQL = """preds AS (SELECT ts, CASE WHEN p > 155000 THEN 1 WHEN p < 145000 THEN -1 ELSE 0 END AS pred FROM (
-  SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1) WHERE n > 4),
+  SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS p FROM orders GROUP BY 1)),
 psig AS MATERIALIZED (SELECT b.*, coalesce(p.pred, 0) AS signal FROM bars b LEFT JOIN preds p USING (ts))"""
 
 
@@ -403,8 +403,14 @@ def compare_inputs(spark, sf):
 
 
 register("bt.compare_trades", lambda spark, sf: BT.compare_trades(*compare_inputs(spark, sf), ["symbol"]).select("symbol", "n_ref", "n_got", "mismatch", big("trade_no")),
-         f"""{TV_TRADES}, n AS (SELECT symbol, count(*) AS c FROM tvx GROUP BY 1) SELECT symbol, c::BIGINT AS n_ref, (CASE WHEN symbol = 'N' THEN c - 1 ELSE c END)::BIGINT AS n_got,
-  CASE symbol WHEN 'N' THEN 'TRADE_COUNT_MISMATCH' WHEN 'R' THEN 'EXIT_BAR_MISMATCH' ELSE 'MATCH' END AS mismatch, (CASE WHEN symbol = 'R' THEN 5 END)::BIGINT AS trade_no FROM n""")
+         f"""{TV_TRADES}, ref AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY entry_idx) - 1 AS k, entry_idx, exit_idx, entry_price, exit_price, reason, count(*) OVER (PARTITION BY symbol) AS c FROM tvx),
+  got AS (SELECT symbol, k, entry_idx, CASE WHEN symbol = 'R' AND k >= 5 THEN exit_idx + 1 ELSE exit_idx END AS exit_idx, entry_price, exit_price, reason FROM ref WHERE symbol <> 'N' OR k < c - 1),
+  cmp AS (SELECT symbol, k AS trade_no, CASE WHEN r.entry_idx <> g.entry_idx THEN 1 WHEN r.exit_idx <> g.exit_idx THEN 2 WHEN abs(r.entry_price - g.entry_price) > 0.0005 * greatest(abs(r.entry_price), 1e-9) THEN 3 WHEN r.reason <> g.reason THEN 4
+    WHEN abs(r.exit_price - g.exit_price) > 0.0005 * greatest(abs(r.exit_price), 1e-9) THEN 5 END AS code FROM ref r FULL JOIN got g USING (symbol, k)),
+  bad AS (SELECT symbol, min(trade_no) AS trade_no, arg_min(code, trade_no) AS code FROM cmp WHERE code IS NOT NULL GROUP BY 1),
+  n AS (SELECT symbol, a.c AS n_ref, coalesce(b.c, 0) AS n_got FROM (SELECT symbol, count(*) AS c FROM ref GROUP BY 1) a LEFT JOIN (SELECT symbol, count(*) AS c FROM got GROUP BY 1) b USING (symbol))
+  SELECT symbol, n_ref::BIGINT AS n_ref, n_got::BIGINT AS n_got, CASE WHEN n_ref <> n_got THEN 'TRADE_COUNT_MISMATCH' WHEN code IS NULL THEN 'MATCH' ELSE ['ENTRY_BAR_MISMATCH', 'EXIT_BAR_MISMATCH', 'ENTRY_PRICE_MISMATCH', 'EXIT_REASON_MISMATCH', 'EXIT_PRICE_MISMATCH'][code] END AS mismatch,
+    (CASE WHEN n_ref = n_got THEN trade_no END)::BIGINT AS trade_no FROM n LEFT JOIN bad USING (symbol)""")
 
 
 @query("bt.invariants", f"""{TV_TRADES}, j1 AS MATERIALIZED (SELECT t.*, b.open AS eo FROM tvx t JOIN tvb b ON b.symbol = t.symbol AND b.bar_idx = t.entry_idx),

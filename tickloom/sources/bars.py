@@ -167,6 +167,17 @@ def zero_volume_scenario(bars: DataFrame) -> DataFrame:
 
 
 def signature(df: DataFrame) -> DataFrame:
-    """Order-independent content hash of a table (stable across processes)."""
-    rows = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("rows"))
-    return rows.select(F.sha2(F.concat_ws("|", F.lit(",".join(df.columns)), F.col("s").cast("string")), 256).alias("signature"), "rows")
+    """Order-independent content hash of a table, the same in any engine: the sum of 60 bits of each row's md5 of its values as text
+    (instants as seconds, numbers in millionths, missing values as an empty text)."""
+    def text(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind.startswith("timestamp"):
+            c = F.unix_timestamp(c.cast("timestamp"))
+        elif kind in ("double", "float") or kind.startswith("decimal"):
+            c = F.round(c * 1_000_000).cast("decimal(38,0)")
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    row = F.md5(F.concat_ws("|", *[text(n, k) for n, k in df.dtypes]))
+    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    rows = df.agg(F.sum(number).alias("s"), F.count(F.lit(1)).alias("rows"))
+    return rows.select(F.sha2(F.concat_ws("|", F.lit(",".join(df.columns)), F.coalesce("s", F.lit(0)).cast("string")), 256).alias("signature"), "rows")
