@@ -74,7 +74,7 @@ def test_neardup_of_large_groups_and_awkward_rows(spark, monkeypatch):
     docs = dict(enumerate(group_of_copies(60)))
     docs |= {900: None, 901: "", 902: " \n", 903: "One two", 904: "one\tTWO", 905: "one two three", 906: LONG, 907: LONG + " end"}
     rows = [*docs.items(), (3, docs[3])]
-    got = neardup.near_duplicates(awkward(spark, [*rows, (None, docs[3])]), words=4, rounds=1).collect()
+    got = neardup.near_duplicates(awkward(spark, [*rows, (None, docs[3])]), words=4).collect()
     want = brute_neardup(docs, 4)
     assert {r.doc_id: tuple(r) for r in got if r.doc_id is not None} == want and len(got) == len(rows) + 1
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]

@@ -1,13 +1,16 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. One narrow pass over the texts gives each document a digest of its word sequence, the size of its shingle set and a
-   signature of 128 minima. Equal sequences collapse to their smallest doc_id before anything is paired.
-2. 32 bands of 4 minima make bucket keys; a pair of similarity 0.8 shares none of them with probability 5e-8.
-3. In each bucket the member with the most company in all its buckets leads, and pairs go from leaders to members only, so
-   a group of m copies makes m pairs. What still lies in different components of one bucket afterwards is compared too:
-   small buckets by pairs of their rest, large ones in blocks of 64 x 64 signatures inside tasks.
-4. Candidate signatures are compared 32 minima at a time. With a uniform prior, m matches of n leave a Beta(m + 1, n - m + 1)
-   posterior; a pair is pruned once P(similarity >= threshold) falls below `miss`. Survivors, and only they, are decided on their full sets.
+1. One narrow pass over the texts gives each document a digest of its word sequence, the size of its shingle set and the
+   keys of 32 bands of 4 minima; a pair of similarity 0.8 shares none of them with probability 5e-8. Equal sequences
+   collapse to their smallest doc_id before anything is paired.
+2. In each bucket the member with the most company in all its buckets leads. Buckets of one leader are one cluster, and pairs go
+   from leaders to their clusters only, so a group of m copies makes m pairs. Only documents in shared buckets
+   get their sets and signatures kept.
+3. Candidate signatures are compared 32 minima at a time. With a uniform prior, m matches of n leave a Beta(m + 1, n - m + 1)
+   posterior; a pair is pruned once P(similarity >= threshold) falls below `miss`. Survivors are decided on their full sets.
+4. What still lies in different components of one cluster is compared in blocks of BLOCK x BLOCK documents inside tasks: the
+   documents outside the cluster's main component with each other and with the main one. A block prunes by the same
+   posterior, decides on full sets, and returns only links that join components there, never all pairs.
 5. Links become components by alternating stars.
 
 Null and empty texts, and texts without words, have the size 0 and are linked with nothing. A text of fewer words than a
@@ -34,7 +37,8 @@ from tickloom.session import materialize
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 BATCH = 32
-BLOCK = 64
+BLOCK = 256
+COLUMNS = 8192
 GROUP_CHARS = 1 << 20
 _rng = np.random.default_rng(77)
 FACTORS = _rng.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,108 +115,133 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Verifier:
-    def __init__(self, docs: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int, miss: float):
-        """reps: doc_id, n, sig; members: the ids that may be paired, whose sets are made once."""
-        self.reps, self.percent, self.least = reps, percent, least_matches(percent / 100, miss)
-
-        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for _, s in shingle_sets(texts_of(batch), words)], pa.binary())], ["doc_id", "set"])
-
-        self.sets = materialize(map_arrow(id_text(docs).join(members.select("doc_id").distinct(), "doc_id", "left_semi"), sets, "doc_id long, set binary").distinct())
-
-    def candidates(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and posteriors leave."""
-        side = lambda x: self.reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        rows = pairs.join(side("a"), "a").filter("n_a > 0").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-        least = self.least
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
-            return batch.select(["a", "b"]).filter(pa.array(plausible(a, b, least)))
-
-        return map_arrow(rows.select("a", "b", "sig_a", "sig_b"), run, "a long, b long").distinct()
-
-    def links(self, candidates: DataFrame) -> DataFrame:
-        """The candidates whose full sets are similar."""
-        side = lambda x: self.sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}"))
-        percent = self.percent
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-            return batch.select(["a", "b"]).filter(pa.array(keep))
-
-        return map_arrow(candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
-
-
-def _crossing(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members (key, doc_id, weight) of buckets that hold several components, with comp and the number of rows left."""
-    known = members.drop("comp", "left").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    open_ = known.groupBy("key").agg(F.count(F.lit(1)).alias("left"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "left")
-    return known.join(open_, "key")
-
-
-def _rest_pairs(left: DataFrame, reps: DataFrame, least: dict[int, int], percent: int) -> tuple[DataFrame, DataFrame]:
-    """All pairs across components that share a bucket: rows of small buckets as pairs, large buckets as survivors of blocks."""
-    small = left.filter(F.col("left") <= BLOCK)
-    one, two = (small.select("key", F.col("doc_id").alias(x), F.col("comp").alias(f"c_{x}")) for x in "ab")
-    pairs = one.join(two, "key").filter("a < b AND c_a <> c_b").select("a", "b").distinct()
-    blocks = F.ceil(F.col("left") / BLOCK).cast("int")
-    large = left.filter(F.col("left") > BLOCK).join(reps, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "comp", "n", "sig")
+def keys_of(sig: bytes) -> np.ndarray:
+    """One 64-bit key for each band."""
+    m = np.frombuffer(sig, "<u4").reshape(BANDS, ROWS).astype(np.uint64)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + m[:, i])
+    return out.view(np.int64)
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, over the hashes that both lists have."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(both), COLUMNS):
+        some = both[first : first + COLUMNS]
+        sides = []
+        for sets in (a, b):
+            m = np.zeros((len(sets), len(some)), np.float32)
+            for i, s in enumerate(sets):
+                s = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], side="right")]
+                at = np.searchsorted(some, s)
+                m[i, at[some[np.minimum(at, len(some) - 1)] == s]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+class Joiner:
+    """Union-find over components within one block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _verified(pairs: DataFrame, data: DataFrame, percent: int, least: dict[int, int]) -> DataFrame:
+    """The pairs (a, b) that sizes and posteriors leave and full sets confirm. data: doc_id, n, sig, set."""
+    side = lambda x: data.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+
+    def prune(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
+        return batch.select(["a", "b"]).filter(pa.array(plausible(a, b, least)))
+
+    def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = map_arrow(rows.select("a", "b", "sig_a", "sig_b"), prune, "a long, b long")
+    sets = lambda x: data.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}"))
+    return map_arrow(left.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "set_a", "set_b"), decide, "a long, b long")
+
+
+def _rest(clusters: DataFrame, comps: DataFrame, data: DataFrame, percent: int, least: dict[int, int]) -> DataFrame:
+    """Links between components of one cluster; clusters: leader, doc_id, without the leaders, which have been compared."""
+    known = clusters.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    known = materialize(known)
+    parts = known.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("leader").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("m")).filter("all > m.n").select("leader", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("mains"),
+                                                                                                                                  F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("rests"))
+    rows = known.join(sizes, "leader").withColumn("in_main", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    # block pairs (x, y): x is a block of the rest; y one of the main component (negative) or of the rest
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.least(r, F.col("own")).alias("x"), F.greatest(r, F.col("own")).alias("y")))
+    with_main = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda m: F.struct(F.col("own").alias("x"), (-m).alias("y")))
+    from_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(r.alias("x"), (-F.col("own") - 1).alias("y")))
+    rows = rows.withColumn("pair", F.explode(F.when(F.col("in_main"), from_main).otherwise(F.concat(with_rest, with_main))))
+    rows = rows.select("leader", "pair.x", "pair.y", F.when(F.col("in_main"), -F.col("own") - 1).otherwise(F.col("own")).alias("own"), "doc_id", "comp").join(data, "doc_id")
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        sig = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(-1, SIZE)
-        ids, comp, n, own = (rows[c].to_numpy() for c in ("doc_id", "comp", "n", "own"))
-        out = []
-        for i in np.flatnonzero(own == lo):
-            j = np.flatnonzero((own == hi) & (comp != comp[i]) & ((ids > ids[i]) | (lo != hi)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(j):
-                j = j[plausible(np.repeat(sig[i : i + 1], len(j), 0), sig[j], least)]
-                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
+        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
+        a, b = rows[rows["own"] == x], rows[rows["own"] == y]
+        out, joined = [], Joiner()
+        if len(a) and len(b):
+            sets = [[np.frombuffer(s, np.uint64) for s in side["set"]] for side in (a, b)]
+            sigs = [np.frombuffer(b"".join(side["sig"]), "<u4").reshape(-1, SIZE) for side in (a, b)]
+            n, comp, ids = ([side[c].to_numpy() for side in (a, b)] for c in ("n", "comp", "doc_id"))
+            shared = intersections(*sets)
+            for i in range(len(a)):
+                j = np.flatnonzero((comp[1] != comp[0][i]) & (100 * shared[i] >= percent * (n[0][i] + n[1] - shared[i])))
+                if len(j):
+                    for k in j[plausible(np.repeat(sigs[0][i : i + 1], len(j), 0), sigs[1][j], least)]:
+                        if joined.join(comp[0][i], comp[1][k]):
+                            out.append((ids[0][i], ids[1][k]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return pairs, large.groupBy("key", "lo", "hi").applyInPandas(block, "a long, b long").distinct()
+    return rows.groupBy("leader", "x", "y").applyInPandas(block, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     tune(docs.sparkSession)
+    least = least_matches(percent / 100, miss)
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [(d, len(s), signature(s) if len(s) else None) for d, s in shingle_sets(texts_of(batch), words)]
-        digest, n, sig = zip(*made, strict=True)
-        return pa.record_batch([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "digest", "n", "sig"])
+        made = [(d, len(s), keys_of(signature(s)) if len(s) else None) for d, s in shingle_sets(texts_of(batch), words)]
+        digest, n, keys = zip(*made, strict=True)
+        return pa.record_batch([batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "keys"])
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [s for _, s in shingle_sets(texts_of(batch), words)]
+        return pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                               ["doc_id", "n", "sig", "set"])
 
-    signed = materialize(map_arrow(id_text(docs), sign, "doc_id long, digest binary, n long, sig binary"))
+    signed = materialize(map_arrow(id_text(docs), sign, "doc_id long, digest binary, n long, keys array<long>"))
     usable = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    reps = materialize(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("digest", "r.*"))
-    # rows of one doc_id with several texts are one node
-    same = usable.select("doc_id", "digest").join(reps.select("digest", F.col("doc_id").alias("rep")), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)])
-    keyed = reps.select("doc_id", F.explode(bands).alias("key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("left")).filter("left > 1")
+    first = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    copies = materialize(usable.select("doc_id", "digest").join(first, "digest").filter("doc_id <> rep"))
+    keyed = usable.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(keyed.join(full, "key"))
-    weights = members.groupBy("doc_id").agg(F.sum(F.col("left") - 1).alias("weight"))
-    left = members.join(weights, "doc_id").withColumn("comp", F.col("doc_id"))
-    verifier = Verifier(docs, reps.drop("digest"), members, words, percent, miss)
-    links = None
-    for turn in range(rounds):
-        lead = left.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("_"), F.col("doc_id").alias("leader"), F.col("comp").alias("led"))).alias("m")).select("key", "m.leader", "m.led")
-        met = left.join(lead, "key")
-        pairs = met.filter("doc_id <> leader" + " AND comp <> led" * (turn > 0)).select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        found = verifier.links(verifier.candidates(pairs))
-        links = materialize(found if links is None else links.unionAll(found))
-        comps = components(links)
-        left = materialize(_crossing(met.filter("doc_id <> leader").drop("leader", "led"), comps))
-        if not left.limit(1).count():
-            break
-    else:
-        pairs, survivors = _rest_pairs(left, reps.drop("digest"), verifier.least, percent)
-        more = materialize(verifier.links(verifier.candidates(pairs).unionAll(survivors).distinct()))
-        if more.limit(1).count():
-            links = links.unionAll(more)
-    comps = components(links.unionAll(same))
+    weights = members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("weight"))
+    lead = members.join(weights, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"))).alias("m")).select("key", (-F.col("m.least")).alias("leader"))
+    clusters = materialize(members.join(lead, "key").filter("doc_id <> leader").select("leader", "doc_id").distinct())
+    wanted = clusters.select("doc_id").unionAll(clusters.select("leader")).distinct()
+    data = materialize(map_arrow(id_text(docs).join(wanted, "doc_id", "left_semi"), describe, "doc_id long, n long, sig binary, set binary").filter("n > 0"))
+    links = materialize(_verified(clusters.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), data, percent, least))
+    more = materialize(_rest(clusters, components(links), data, percent, least))
+    comps = components(links.unionAll(more).unionAll(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(comps, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
