@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Grid:
-    """Rows per segment (scan unit) and per group (window unit)."""
+    """Rows per segment (scan unit) and per group (window unit); groups folded together in one row."""
 
     segment: int = 256
     group: int = 4096
+    fan: int = 1024
 
     def halo_for(self, parts: list[int]) -> int:
         """Halo rows for consecutive lookbacks separated by scans, whole segments each."""

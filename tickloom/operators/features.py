@@ -269,11 +269,11 @@ def native_feature(feature_id: str, category: str, outputs: dict, *params):
 
 
 def int_param(name: str, lo: int, hi: int, step: int, default: int) -> tuple:
-    return (name, "int", float(lo), float(hi), default)
+    return (name, "int", float(lo), float(hi), default, float(step))
 
 
 def float_param(name: str, lo: float, hi: float, step: float, default: float) -> tuple:
-    return (name, "float", lo, hi, default)
+    return (name, "float", lo, hi, default, step)
 
 
 def compute_genome(bars: DataFrame, genome: dict[str, dict], registry: Registry = REGISTRY, grid: Grid = GRID,

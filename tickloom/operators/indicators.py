@@ -3,6 +3,8 @@
 Where published definitions differ in seeding, the docstring of the helper states the choice:
 EMA is seeded by its first input and shown once n inputs exist, Wilder smoothing is seeded by the
 mean of its first n inputs, RSI uses an exponential mean with alpha 1/n of gains and losses.
+
+Parameter names, ranges, steps and defaults are fixed values: genomes are validated and mutated by them.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def bb(s: Scope, window, std_dev):
 
 
 @feature("VOLATILITY_BB_ADV_V1", "VOLATILITY", {"value": "pct_b", "width": "width"},
-         int_param("window", 10, 50, 1, 20), float_param("std_dev", 1.0, 3.0, 0.1, 2.0))
+         int_param("window", 10, 50, 1, 20), float_param("std_dev", 1.5, 3.0, 0.1, 2.0))
 def bb_adv(s: Scope, window, std_dev):
     m, up, lo = bands(s, window, std_dev)
     return {"pct_b": div(F.col("close") - lo, up - lo), "width": div(up - lo, m) * 100}
@@ -117,20 +119,20 @@ def donchian_full(s: Scope, window):
     return {"dc_high": h, "dc_low": l, "dc_mid": (h + l) / 2, "dc_width": div(h - l, m) * 100}
 
 
-@feature("VOLATILITY_UI_V1", "VOLATILITY", {"value": "ui"}, int_param("length", 5, 50, 1, 14))
+@feature("VOLATILITY_UI_V1", "VOLATILITY", {"value": "ui"}, int_param("length", 5, 30, 1, 14))
 def ulcer(s: Scope, length):
     peak = s.let("peak", s.max("close", length))
     dd = s.let("dd", F.pow(div(100 * (F.col("close") - peak), peak), 2))
     return {"ui": F.sqrt(s.let("ms", s.avg(dd, length)))}
 
 
-@feature("VOLATILITY_CV_V1", "VOLATILITY", {"value": "cv"}, int_param("window", 5, 50, 1, 10), int_param("roc_window", 5, 50, 1, 10))
+@feature("VOLATILITY_CV_V1", "VOLATILITY", {"value": "cv"}, int_param("window", 5, 30, 1, 10), int_param("roc_window", 5, 30, 1, 10))
 def chaikin_volatility(s: Scope, window, roc_window):
     e = s.let("e", s.ema("ema", F.col("high") - F.col("low"), window, guard=False).col)
     return {"cv": s.let("cv", s.pct(e, roc_window) * 100)}
 
 
-@feature("VOLATILITY_RVI_V1", "VOLATILITY", {"value": "rvi"}, int_param("height", 5, 50, 1, 14), int_param("length", 5, 50, 1, 14))
+@feature("VOLATILITY_RVI_V1", "VOLATILITY", {"value": "rvi"}, int_param("height", 5, 50, 1, 14), int_param("length", 10, 30, 1, 14))
 def relative_volatility(s: Scope, height, length):
     """Rows whose 10-bar deviation is not defined yet count as 0."""
     sd, d = s.let("sd", s.std("close", 10)), s.let("d", s.diff("close"))
@@ -140,7 +142,7 @@ def relative_volatility(s: Scope, height, length):
 
 
 @feature("VOLATILITY_ENV_V1", "VOLATILITY", {"value": "upper", "upper": "upper", "lower": "lower"},
-         int_param("length", 10, 50, 1, 20), float_param("pct", 0.01, 0.2, 0.01, 0.05))
+         int_param("length", 10, 50, 1, 20), float_param("pct", 0.01, 0.1, 0.01, 0.05))
 def envelope(s: Scope, length, pct):
     m = s.let("m", s.avg("close", length))
     return {"upper": m * (1 + pct), "lower": m * (1 - pct)}
@@ -151,7 +153,7 @@ def std_dev(s: Scope, length):
     return {"std": s.let("sd", s.std("close", length))}
 
 
-@feature("VOLATILITY_KALMAN_V1", "VOLATILITY", {"value": "kalman"}, float_param("r_ratio", 0.01, 1.0, 0.01, 0.1))
+@feature("VOLATILITY_KALMAN_V1", "VOLATILITY", {"value": "kalman"}, float_param("r_ratio", 0.01, 0.5, 0.01, 0.1))
 def kalman(s: Scope, r_ratio):
     """The covariance follows a Moebius map with constant coefficients, so the gain of bar t is closed form."""
     q, r = 1e-5, r_ratio ** 2
@@ -168,7 +170,7 @@ def kalman(s: Scope, r_ratio):
 # -- momentum --------------------------------------------------------------------------------
 
 @feature("MOMENTUM_RSI_V1", "MOMENTUM", {"value": "rsi", "velocity": "velocity", "persist_os": "persist_os", "persist_ob": "persist_ob"},
-         int_param("window", 2, 50, 1, 14))
+         int_param("window", 5, 50, 1, 14))
 def rsi(s: Scope, window):
     r = rsi_of(s, window)
     return {"rsi": r, "velocity": s.let("vel", s.diff(r, 3)), "persist_os": s.run_length("os", r < 30),
@@ -181,7 +183,7 @@ def _macd(s: Scope, fast, slow, signal):
     return {"line": line, "diff": line - sig, "signal": sig}
 
 
-_MACD_PARAMS = (int_param("fast", 5, 30, 1, 12), int_param("slow", 15, 60, 1, 26), int_param("signal", 5, 20, 1, 9))
+_MACD_PARAMS = (int_param("fast", 5, 20, 1, 12), int_param("slow", 21, 50, 1, 26), int_param("signal", 5, 15, 1, 9))
 _MACD_OUT = {"value": "line", "diff": "diff", "signal": "signal"}
 feature("MOMENTUM_MACD_V1", "MOMENTUM", _MACD_OUT, *_MACD_PARAMS)(_macd)
 feature("TREND_MACD_V1", "TREND", _MACD_OUT, *_MACD_PARAMS)(_macd)
@@ -198,7 +200,7 @@ feature("MEANREV_STOCH_V1", "MEANREV", {"value": "k", "signal": "d"}, *_STOCH)(_
 feature("MOMENTUM_STOCH_V1", "MOMENTUM", {"value": "k", "signal": "d"}, *_STOCH)(_stoch)
 
 
-@feature("MOMENTUM_CCI_V1", "MOMENTUM", {"value": "cci"}, int_param("length", 5, 50, 1, 20), float_param("c", 0.01, 0.03, 0.001, 0.015))
+@feature("MOMENTUM_CCI_V1", "MOMENTUM", {"value": "cci"}, int_param("length", 10, 100, 1, 20), float_param("c", 0.01, 0.05, 0.001, 0.015))
 def cci(s: Scope, length, c):  # noqa: A002
     tp = s.let("tp", typical())
     m, arr = s.let("m", s.avg(tp, length)), s.let("arr", s.array(tp, length))
@@ -210,22 +212,22 @@ def _roc(s: Scope, length):
     return {"roc": s.let("roc", s.pct("close", length) * 100)}
 
 
-feature("MOMENTUM_ROC_V1", "MOMENTUM", {"value": "roc"}, int_param("length", 2, 50, 1, 10))(_roc)
-feature("MOMENTUM_ROC12_V1", "MOMENTUM", {"value": "roc"}, int_param("length", 2, 50, 1, 12))(_roc)
+feature("MOMENTUM_ROC_V1", "MOMENTUM", {"value": "roc"}, int_param("length", 1, 30, 1, 10))(_roc)
+feature("MOMENTUM_ROC12_V1", "MOMENTUM", {"value": "roc"}, int_param("length", 1, 50, 1, 12))(_roc)
 
 
-@feature("MOMENTUM_WILLR_V1", "MOMENTUM", {"value": "willr"}, int_param("length", 5, 50, 1, 14))
+@feature("MOMENTUM_WILLR_V1", "MOMENTUM", {"value": "willr"}, int_param("length", 5, 30, 1, 14))
 def williams(s: Scope, length):
     hi, lo = s.let("hi", s.max("high", length)), s.let("lo", s.min("low", length))
     return {"willr": -100 * div(hi - F.col("close"), hi - lo)}
 
 
-@feature("MOMENTUM_MOM_V1", "MOMENTUM", {"value": "mom"}, int_param("length", 2, 50, 1, 10))
+@feature("MOMENTUM_MOM_V1", "MOMENTUM", {"value": "mom"}, int_param("length", 1, 50, 1, 10))
 def momentum(s: Scope, length):
     return {"mom": s.let("mom", s.diff("close", length))}
 
 
-@feature("MOMENTUM_CMO_V1", "MOMENTUM", {"value": "cmo"}, int_param("length", 5, 50, 1, 14))
+@feature("MOMENTUM_CMO_V1", "MOMENTUM", {"value": "cmo"}, int_param("length", 5, 30, 1, 14))
 def cmo(s: Scope, length):
     return {"cmo": (rsi_of(s, length) - 50) * 2}
 
@@ -238,12 +240,12 @@ def cmo_sum(s: Scope, length):
     return {"cmo": 100 * (up - dn) / (up + dn + EPS)}
 
 
-@feature("MOMENTUM_AO_V1", "MOMENTUM", {"value": "ao"}, int_param("fast", 3, 20, 1, 5), int_param("slow", 20, 60, 1, 34))
+@feature("MOMENTUM_AO_V1", "MOMENTUM", {"value": "ao"}, int_param("fast", 2, 10, 1, 5), int_param("slow", 20, 50, 1, 34))
 def awesome(s: Scope, fast, slow):
     return {"ao": s.let("ao", s.avg(median_price(), fast) - s.avg(median_price(), slow))}
 
 
-@feature("MOMENTUM_TSI_V1", "MOMENTUM", {"value": "tsi"}, int_param("high_len", 10, 50, 1, 25), int_param("low_len", 5, 30, 1, 13))
+@feature("MOMENTUM_TSI_V1", "MOMENTUM", {"value": "tsi"}, int_param("high_len", 15, 40, 1, 25), int_param("low_len", 5, 20, 1, 13))
 def tsi(s: Scope, high_len, low_len):
     d = s.let("d", s.diff("close"))
     one, two = s.ema("a", d, high_len, 1), s.ema("b", F.abs(d), high_len, 1)
@@ -259,7 +261,7 @@ def _kst(s: Scope, r1, r2, r3, r4):
     return {"kst": k, "signal": sig, "diff": k - sig}
 
 
-_KST = (int_param("r1", 5, 30, 1, 10), int_param("r2", 5, 40, 1, 15), int_param("r3", 5, 50, 1, 20), int_param("r4", 5, 60, 1, 30))
+_KST = (int_param("r1", 5, 15, 1, 10), int_param("r2", 10, 20, 1, 15), int_param("r3", 15, 25, 1, 20), int_param("r4", 20, 40, 1, 30))
 feature("MOMENTUM_KST_V1", "MOMENTUM", {"value": "kst", "signal": "signal"}, *_KST)(_kst)
 feature("TREND_KST_V1", "TREND", {"value": "kst", "signal": "signal", "diff": "diff"}, *_KST)(_kst)
 
@@ -277,7 +279,7 @@ feature("MOMENTUM_VORTEX_V1", "MOMENTUM", {"value": "diff", "pos": "pos", "neg":
 feature("TREND_VORTEX_V1", "TREND", {"value": "diff", "pos": "pos", "neg": "neg"}, int_param("length", 5, 50, 1, 14))(_vortex)
 
 
-@feature("MOMENTUM_PMO_V1", "MOMENTUM", {"value": "pmo", "signal": "signal"}, int_param("len1", 10, 60, 1, 35), int_param("len2", 5, 40, 1, 20))
+@feature("MOMENTUM_PMO_V1", "MOMENTUM", {"value": "pmo", "signal": "signal"}, int_param("len1", 20, 50, 1, 35), int_param("len2", 10, 30, 1, 20))
 def pmo(s: Scope, len1, len2):
     one = s.ema("a", F.coalesce(s.pct("close") * 100, F.when(F.col("bar_idx") > 0, 0.0)), len1, 1, guard=False)
     two = s.ema("b", one, len2, 1, guard=False)
@@ -288,11 +290,11 @@ def _force(s: Scope, length):
     return {"efi": s.ema("f", s.diff("close") * F.col("volume"), length, 1).col}
 
 
-feature("MOMENTUM_EFI_V1", "MOMENTUM", {"value": "efi"}, int_param("length", 5, 50, 1, 13))(_force)
+feature("MOMENTUM_EFI_V1", "MOMENTUM", {"value": "efi"}, int_param("length", 5, 30, 1, 13))(_force)
 feature("VOLUME_FI_V1", "VOLUME", {"value": "efi"}, int_param("length", 5, 50, 1, 13))(_force)
 
 
-@feature("MOMENTUM_PAM_V1", "MOMENTUM", {"value": "pam"}, int_param("length", 5, 50, 1, 10))
+@feature("MOMENTUM_PAM_V1", "MOMENTUM", {"value": "pam"}, int_param("length", 5, 30, 1, 10))
 def pam(s: Scope, length):
     return {"pam": s.let("z", (F.col("close") - s.avg("close", length)) / (s.std("close", length) + EPS))}
 
@@ -379,12 +381,12 @@ def _trix(s: Scope, length):
     return {"trix": s.let("t", s.pct(e) * 100)}
 
 
-feature("TREND_TRIX_V1", "TREND", {"value": "trix"}, int_param("length", 5, 50, 1, 30))(_trix)
+feature("TREND_TRIX_V1", "TREND", {"value": "trix"}, int_param("length", 10, 50, 1, 30))(_trix)
 feature("TREND_TRIX15_V1", "TREND", {"value": "trix"}, int_param("length", 5, 50, 1, 15))(_trix)
 
 
 @feature("TREND_ICHIMOKU_V1", "TREND", {"value": "conv", "conv": "conv", "base": "base", "spanA": "spanA", "spanB": "spanB"},
-         int_param("tenkan", 5, 20, 1, 9), int_param("kijun", 15, 40, 1, 26), int_param("senkou", 30, 80, 1, 52))
+         int_param("tenkan", 5, 20, 1, 9), int_param("kijun", 20, 40, 1, 26), int_param("senkou", 40, 60, 1, 52))
 def ichimoku(s: Scope, tenkan, kijun, senkou):
     mid = lambda name, n: s.let(name, (s.max("high", n) + s.min("low", n)) / 2)
     conv, base = mid("conv", tenkan), mid("base", kijun)
@@ -397,7 +399,7 @@ def super_distance(s: Scope, length, multiplier):
     return {"dist_up": div(cl - (hl2 + multiplier * a), cl), "dist_down": div(cl - (hl2 - multiplier * a), cl)}
 
 
-@feature("TREND_AROON_V1", "TREND", {"value": "ind", "up": "up", "down": "down"}, int_param("length", 5, 50, 1, 25))
+@feature("TREND_AROON_V1", "TREND", {"value": "ind", "up": "up", "down": "down"}, int_param("length", 10, 50, 1, 25))
 def aroon(s: Scope, length):
     """Position of the earliest extreme among the last length + 1 bars, in percent."""
     w = s.frame(length + 1)
@@ -452,7 +454,7 @@ feature("ADAPTIVE_KAMA_V1", "ADAPTIVE", {"value": "kama"}, int_param("length", 5
 feature("MOMENTUM_KAMA_V1", "MOMENTUM", {"value": "kama"}, int_param("length", 5, 50, 1, 10))(_kama)
 
 
-@feature("ADAPTIVE_RAVI_V1", "ADAPTIVE", {"value": "ravi"}, int_param("short_len", 3, 20, 1, 7), int_param("long_len", 30, 100, 1, 65))
+@feature("ADAPTIVE_RAVI_V1", "ADAPTIVE", {"value": "ravi"}, int_param("short_len", 5, 20, 1, 7), int_param("long_len", 30, 100, 1, 65))
 def ravi(s: Scope, short_len, long_len):
     f, sl = s.let("f", s.avg("close", short_len)), s.let("s", s.avg("close", long_len))
     return {"ravi": F.abs(f - sl) / (sl + EPS) * 100}
@@ -475,7 +477,7 @@ def obv(s: Scope):
     return {"OBV": s.cumsum("c", F.when(d > 0, F.col("volume")).when(d < 0, -F.col("volume")).otherwise(0.0))}
 
 
-@feature("VOLUME_MFI_V1", "VOLUME", {"value": "mfi"}, int_param("length", 5, 50, 1, 14))
+@feature("VOLUME_MFI_V1", "VOLUME", {"value": "mfi"}, int_param("length", 5, 30, 1, 14))
 def mfi(s: Scope, length):
     tp = s.let("tp", typical())
     flow, d = tp * F.col("volume"), s.let("d", s.diff(tp))
@@ -484,12 +486,12 @@ def mfi(s: Scope, length):
     return {"mfi": 100 * div(pos, pos + neg)}
 
 
-@feature("VOLUME_CMF_V1", "VOLUME", {"value": "cmf"}, int_param("length", 5, 50, 1, 20))
+@feature("VOLUME_CMF_V1", "VOLUME", {"value": "cmf"}, int_param("length", 10, 30, 1, 20))
 def cmf(s: Scope, length):
     return {"cmf": s.let("c", div(s.sum(money_flow_value(), length), s.sum("volume", length)))}
 
 
-@feature("VOLUME_EOM_V1", "VOLUME", {"value": "eom", "sma": "eom_sma"}, int_param("length", 5, 50, 1, 14))
+@feature("VOLUME_EOM_V1", "VOLUME", {"value": "eom", "sma": "eom_sma"}, int_param("length", 5, 30, 1, 14))
 def eom(s: Scope, length):
     move = s.diff("high") + s.diff("low")
     e = s.let("e", div(move * (F.col("high") - F.col("low")), 2 * F.col("volume")) * 100000000.0)
@@ -501,7 +503,7 @@ def adl(s: Scope):
     return {"ADL": s.cumsum("c", money_flow_value())}
 
 
-@feature("VOLUME_CHO_V1", "VOLUME", {"value": "cho"}, int_param("fast", 2, 10, 1, 3), int_param("slow", 5, 30, 1, 10))
+@feature("VOLUME_CHO_V1", "VOLUME", {"value": "cho"}, int_param("fast", 2, 10, 1, 3), int_param("slow", 10, 30, 1, 10))
 def cho(s: Scope, fast, slow):
     s.cumsum("c", money_flow_value())
     a = State(s, ((f"{s.prefix}_zc_z", 1.0),), 0)
@@ -535,7 +537,7 @@ def vwap(s: Scope, window):
 
 # -- price action ----------------------------------------------------------------------------
 
-@feature("PA_PIVOT_V1", "PRICE_ACTION", {"value": "dist", "level": "level", "r1": "r1", "s1": "s1"}, int_param("window", 5, 50, 1, 20))
+@feature("PA_PIVOT_V1", "PRICE_ACTION", {"value": "dist", "level": "level", "r1": "r1", "s1": "s1"}, int_param("window", 5, 60, 1, 20))
 def pivot(s: Scope, window):
     hi, lo = s.let("hi", s.max("high", window)), s.let("lo", s.min("low", window))
     ph, pl = s.let("ph", s.lag(hi)), s.let("pl", s.lag(lo))
@@ -545,14 +547,14 @@ def pivot(s: Scope, window):
     return {"level": pp, "dist": div(F.col("close") - pp, pp) * 100, "r1": 2 * pp - pl, "s1": 2 * pp - ph}
 
 
-@feature("PA_FIBO_V1", "PRICE_ACTION", {"value": "pos", "dist": "dist_618"}, int_param("window", 20, 100, 1, 50))
+@feature("PA_FIBO_V1", "PRICE_ACTION", {"value": "pos", "dist": "dist_618"}, int_param("window", 20, 200, 1, 50))
 def fibo(s: Scope, window):
     hi, lo = s.let("hi", s.max("high", window)), s.let("lo", s.min("low", window))
     pos = (F.col("close") - lo) / (hi - lo + EPS)
     return {"pos": pos, "dist_618": pos - 0.618}
 
 
-@feature("PA_SR_V1", "PRICE_ACTION", {"value": "dist_res", "upper": "dist_res", "lower": "dist_sup"}, int_param("window", 5, 50, 1, 20))
+@feature("PA_SR_V1", "PRICE_ACTION", {"value": "dist_res", "upper": "dist_res", "lower": "dist_sup"}, int_param("window", 10, 100, 1, 20))
 def support_resistance(s: Scope, window):
     hi, lo = s.let("hi", s.max("high", window)), s.let("lo", s.min("low", window))
     res, sup = s.let("res", s.lag(hi)), s.let("sup", s.lag(lo))
@@ -566,7 +568,7 @@ def volume_profile(s: Scope, window, bins):
 
 
 @feature("PA_FAKE_OUT_V1", "PRICE_ACTION", {"value": "signal", "bull": "bull_fake", "bear": "bear_fake"},
-         int_param("window", 10, 50, 1, 20), int_param("lookback", 2, 10, 1, 5))
+         int_param("window", 10, 100, 1, 20), int_param("lookback", 2, 10, 1, 5))
 def fake_out(s: Scope, window, lookback):
     hi, lo = s.let("hi", s.max("high", window)), s.let("lo", s.min("low", window))
     ph, pl = s.let("ph", s.lag(hi)), s.let("pl", s.lag(lo))

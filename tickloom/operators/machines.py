@@ -48,7 +48,7 @@ def supertrend_machine(a: dict, p: dict, state, last: bool, emit):
 
 
 @native_feature("TREND_SUPER_V1", "TREND", {"value": "trend", "upper": "upper", "lower": "lower"},
-                int_param("length", 5, 30, 1, 7), float_param("multiplier", 1.0, 5.0, 0.1, 3.0))
+                int_param("length", 5, 20, 1, 7), float_param("multiplier", 1.0, 4.0, 0.5, 3.0))
 def supertrend(bars, fid, grid=GRID, length=7, multiplier=3.0, block=BLOCK):
     """ATR counts as 0 until it is defined."""
     band = lambda k: lambda s: median_price() + k * multiplier * F.coalesce(atr_of(s, length), F.lit(0.0))
@@ -91,7 +91,7 @@ def psar_machine(a: dict, p: dict, state, last: bool, emit):
 
 
 @native_feature("TREND_PSAR_V1", "TREND", {"value": "psar", "up": "up", "down": "down"},
-                float_param("step", 0.01, 0.1, 0.01, 0.02), float_param("max_step", 0.1, 0.5, 0.05, 0.2))
+                float_param("step", 0.01, 0.05, 0.01, 0.02), float_param("max_step", 0.1, 0.5, 0.1, 0.2))
 def psar(bars, fid, grid=GRID, step=0.02, max_step=0.2, block=BLOCK):
     params = bars.sparkSession.range(1).select(F.lit(step).alias("step"), F.lit(max_step).alias("max_step"))
     out = relay(bars.select("symbol", "bar_idx", "high", "low", "close"), psar_machine,

@@ -3,13 +3,13 @@
 Inside a segment of a few hundred bars the recursion has the closed form
 ``y_t = P_t * (carry + sum(b_i / P_i))`` with ``P_t`` the product of the factors so far, which is an
 ordinary window sum.  Affine maps compose: each segment is summarised by its end row, each group by
-the composition of its segments, and one ordered fold per symbol over the group summaries yields the
-carry of every group.  A recursion may be fed by another one (an EMA of an EMA); the response of the
+the composition of its segments, ``Grid.fan`` groups by the composition of theirs, and ordered folds
+down these levels yield the carry of every group.  A recursion may be fed by another one (an EMA of an EMA); the response of the
 later state to the earlier carry is itself a window sum, so a whole chain costs one pass.
 Segment length bounds ``1 / P``: with 256 bars a constant factor may be as small as 0.07.
 
-The fold per symbol sees one row per group (``Grid.group`` bars); for symbols of a billion bars use a
-larger group.
+No row holds more than ``Grid.fan`` groups, and the last fold per symbol sees one entry for each of
+those (four million bars at the defaults).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.blocks import CORE, GRID, GROUP_KEY, Grid
 
 SEG = "_seg"
+SUPER = "_super"
 
 
 @dataclass(frozen=True)
@@ -171,9 +172,14 @@ def run_scans(df: DataFrame, scans: list, keys: tuple[str, ...] = ("symbol",), i
     unit = F.struct(*[F.lit(0.0).alias(f"_l_{k}") for k in names],
                     *[F.lit(1.0 if k == m else 0.0).alias(_resp(k, m)) for k, m in pairs])
     per_key = ends.select(*keys, GROUP_KEY, F.aggregate("_segs", unit, compose).alias("_tot"), *[f"_s_{n}" for n in seeded])
-    per_key = per_key.groupBy(*keys).agg(
+    # two levels: at most `fan` groups meet in one row, and one row for each `fan` groups of a key in another
+    mid = per_key.groupBy(*keys, F.expr(f"{GROUP_KEY} div {grid.fan}").alias(SUPER)).agg(
         F.sort_array(F.collect_list(F.struct(GROUP_KEY, "_tot"))).alias("_all"),
         *[F.min_by(f"_s_{n}", F.when(F.col(f"_s_{n}").isNotNull(), F.col(GROUP_KEY))).alias(f"_s_{n}") for n in seeded])
+    top = mid.select(*keys, SUPER, F.aggregate("_all", unit, lambda acc, x: compose(acc, x["_tot"])).alias("_tot"), *[f"_s_{n}" for n in seeded])
+    top = top.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(SUPER, "_tot"))).alias("_supers"),
+        *[F.min_by(f"_s_{n}", F.when(F.col(f"_s_{n}").isNotNull(), F.col(SUPER))).alias(f"_s_{n}") for n in seeded])
 
     def push(state: Column, x: Column) -> Column:
         return F.struct(*[
@@ -192,7 +198,9 @@ def run_scans(df: DataFrame, scans: list, keys: tuple[str, ...] = ("symbol",), i
             lambda acc: acc["out"])
 
     start = F.struct(*[(F.coalesce(F.col(f"_s_{n}"), F.lit(0.0)) if n in seeded else F.lit(0.0)).alias(n) for n in names])
-    entry = per_key.select(*keys, F.explode(carried(F.col("_all"), start, lambda x: x["_tot"], GROUP_KEY)).alias("_e"))
+    first = top.select(*keys, F.explode(carried(F.col("_supers"), start, lambda x: x["_tot"], SUPER)).alias("_e"))
+    first = first.select(*keys, F.col(f"_e.{SUPER}").alias(SUPER), F.col("_e.c").alias("_first"))
+    entry = mid.select(*keys, SUPER, "_all").join(first, [*keys, SUPER]).select(*keys, F.explode(carried(F.col("_all"), F.col("_first"), lambda x: x["_tot"], GROUP_KEY)).alias("_e"))
     entry = entry.select(*keys, F.col(f"_e.{GROUP_KEY}").alias(GROUP_KEY), F.col("_e.c").alias("_in"))
     carry = ends.join(entry, [*keys, GROUP_KEY]).select(
         *keys, GROUP_KEY, carried(F.col("_segs"), F.col("_in"), lambda x: x, SEG).alias("_cs"))
