@@ -239,6 +239,8 @@ CONTEXT_SPECS = {
     "MACRO_US10Y": {"us10y_close": "us10y_close"},
     "MACRO_HYG": {"hyg_close": "hyg_close"},
     "MACRO_DX": {"dx_close": "dx_close"},
+    "MACRO_BTC": {"btc_close": "btc_close"},
+    "MACRO_USO": {"uso_close": "uso_close"},
 }
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.num import rnd
 from tickloom.operators import ledger as L
-from tickloom.operators.features import REGISTRY
 from tickloom.queries.base import query, register, table
 from tickloom.queries.result_queries import FOLD_SQL, METRICS_SQL, fold_stats
 from tickloom.queries.sqlkit import Rec, chain, r6
@@ -52,12 +51,12 @@ _fix = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}')"
 register("led.fix_suggestions", lambda spark, sf: L.fix_suggestions(records(spark, sf), ["exp_id"]), f"WITH {REC_SQL}, {_fix}, x AS (SELECT exp_id, unnest(reason_codes) AS code FROM rec) SELECT exp_id, target, arg_max(change, o) AS change FROM x JOIN fx USING (code) GROUP BY ALL")
 
 
-@query("led.feature_catalog")
+@query("led.feature_catalog", f"""WITH {REC_SQL}, u AS (SELECT exp_id, eval_score, 'F' || ((i * 3 + ck) % 10) || '_' || i AS feature FROM (SELECT *, unnest(range(k % 5 + 1)) AS i FROM rec))
+  SELECT split_part(feature, '_', 1) AS category, count(DISTINCT feature)::BIGINT AS features, count(DISTINCT exp_id)::BIGINT AS experiments, {r6('avg(eval_score)')} AS mean_score FROM u GROUP BY 1""")
 def feature_catalog(spark, sf):
-    rows = [(f.feature_id, f.category, len(f.params)) for f in REGISTRY.features.values()]
-    used = records(spark, sf).agg(F.count(F.lit(1)).alias("experiments"))
-    cat = spark.createDataFrame(rows, "feature_id string, category string, n_params int").groupBy("category").agg(F.count(F.lit(1)).alias("features"), F.sum("n_params").alias("params"))
-    return cat.join(F.broadcast(used))
+    """Features by category as the genomes of all experiments use them."""
+    used = records(spark, sf).select("exp_id", "eval_score", F.explode(F.map_keys("genome")).alias("feature"))
+    return used.groupBy(F.split("feature", "_")[0].alias("category")).agg(F.countDistinct("feature").alias("features"), F.countDistinct("exp_id").alias("experiments"), rnd(F.avg("eval_score")).alias("mean_score"))
 
 
 @query("led.diagnostics", f"WITH {REC_SQL}, l AS (SELECT regime AS stage, arg_max(exp_id, (ts, exp_id)) AS latest FROM rec GROUP BY 1), r AS (SELECT exp_id FROM rec ORDER BY ts DESC, exp_id DESC LIMIT 20) SELECT 'latest' AS kind, stage, latest AS exp_id FROM l UNION ALL SELECT 'recent', NULL, exp_id FROM r")

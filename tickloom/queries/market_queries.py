@@ -81,7 +81,7 @@ def prep_clean(spark, sf):
     return ohlcv(B.clean(holes), ("symbol", "bar_idx"))
 
 
-CTX_COLS = ("spy_close", "vix_close", "us10y_close", "hyg_close", "dx_close")
+CTX_COLS = ("spy_close", "vix_close", "us10y_close", "hyg_close", "dx_close", "btc_close", "uso_close")
 
 
 @query("prep.context_join", f"WITH {BARS_C} SELECT symbol, bar_idx::BIGINT AS bar_idx, {', '.join(f'{r6(c)} AS {c}' for c in CTX_COLS)} FROM bars_ctx")

@@ -26,10 +26,11 @@ CONTEXT = """context AS MATERIALIZED (
     avg(o_totalprice) FILTER (o_orderpriority = '2-HIGH') / 6500.0 AS vix_close,
     avg(o_totalprice) FILTER (o_orderpriority = '3-MEDIUM') / 36000.0 AS us10y_close,
     avg(o_totalprice) FILTER (o_orderpriority = '4-NOT SPECIFIED') / 2000.0 AS hyg_close,
-    avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') / 1500.0 AS dx_close
+    avg(o_totalprice) FILTER (o_orderpriority = '5-LOW') / 1500.0 AS dx_close,
+    avg(o_totalprice) FILTER (o_orderstatus = 'O') / 5.0 AS btc_close, avg(o_totalprice) FILTER (o_orderstatus = 'F') / 2500.0 AS uso_close
   FROM orders GROUP BY 1)"""
 
-CONTEXT_COLS = ("spy_close", "vix_close", "us10y_close", "hyg_close", "dx_close")
+CONTEXT_COLS = ("spy_close", "vix_close", "us10y_close", "hyg_close", "dx_close", "btc_close", "uso_close")
 _FILL = ", ".join(f"coalesce(last_value(c.{n} IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.bar_idx), 0.0) AS {n}"
                   for n in CONTEXT_COLS)
 BARS_C = f"""{BARS_D},

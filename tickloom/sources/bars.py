@@ -38,16 +38,16 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
     return with_bar_idx(raw, slot=F.date_trunc("quarter", F.col("ts")))
 
 
-# Fixed mapping of the order priorities to context series and their scale.
-CONTEXT_SERIES = [("1-URGENT", "spy", 1000.0), ("2-HIGH", "vix", 6500.0), ("3-MEDIUM", "us10y", 36000.0),
-                  ("4-NOT SPECIFIED", "hyg", 2000.0), ("5-LOW", "dx", 1500.0)]
+# Fixed mapping of the order priorities and states to context series and their scale.
+CONTEXT_SERIES = [("o_orderpriority", "1-URGENT", "spy", 1000.0), ("o_orderpriority", "2-HIGH", "vix", 6500.0), ("o_orderpriority", "3-MEDIUM", "us10y", 36000.0),
+                  ("o_orderpriority", "4-NOT SPECIFIED", "hyg", 2000.0), ("o_orderpriority", "5-LOW", "dx", 1500.0), ("o_orderstatus", "O", "btc", 5.0), ("o_orderstatus", "F", "uso", 2500.0)]
 
 
 def order_context(orders: DataFrame) -> DataFrame:
     """Daily context closes from ``orders``, one ``<name>_close`` column per series."""
     return orders.groupBy(F.date_trunc("day", F.col("o_orderdate")).alias("ts")).agg(
-        *[(F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / scale).alias(f"{name}_close")
-          for p, name, scale in CONTEXT_SERIES])
+        *[(F.avg(F.when(F.col(column) == value, F.col("o_totalprice"))) / scale).alias(f"{name}_close")
+          for column, value, name, scale in CONTEXT_SERIES])
 
 
 def read_ohlcv(df: DataFrame) -> DataFrame:
