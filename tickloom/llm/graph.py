@@ -18,18 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     while True:
+        # a forest of stars has one link for each outer node, and no outer node is a centre
+        ends = edges.select("v", F.lit(1).alias("out"), F.lit(0).alias("centre")).unionAll(edges.select(F.col("u").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+        if not ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).filter("out > 1 OR out = 1 AND centre = 1").limit(1).count():
+            break
         both = edges.unionAll(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        large = materialize(large)
+        large = materialize(both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u"))
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
-        after = materialize(small.filter("v <> u").distinct())
-        # a star forest has one link for each node, and no node that is both an end and a centre
-        state = after.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(after.select(F.col("u").alias("v")).distinct().withColumn("centre", F.lit(1)), "v", "left")
-        settled = not state.filter("n > 1 OR centre = 1").limit(1).count()
-        edges = after
-        if settled:
-            break
+        edges = materialize(small.filter("v <> u").distinct())
     stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return stars.unionAll(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

@@ -8,9 +8,9 @@
    get their sets and signatures kept.
 3. Candidate signatures are compared 32 minima at a time. With a uniform prior, m matches of n leave a Beta(m + 1, n - m + 1)
    posterior; a pair is pruned once P(similarity >= threshold) falls below `miss`. Survivors are decided on their full sets.
-4. What still lies in different components of one cluster is compared in blocks of BLOCK x BLOCK documents inside tasks: the
-   documents outside the cluster's main component with each other and with the main one. A block prunes by the same
-   posterior, decides on full sets, and returns only links that join components there, never all pairs.
+4. Documents of a cluster that are not linked to its leader are compared with each other and with those that are, in blocks
+   of BLOCK x BLOCK documents inside tasks. A block prunes by the same posterior, decides on full sets, and returns only
+   links that join what isn't joined there yet, never all pairs.
 5. Links become components by alternating stars.
 
 Null and empty texts, and texts without words, have the size 0 and are linked with nothing. A text of fewer words than a
@@ -177,18 +177,16 @@ def _verified(pairs: DataFrame, data: DataFrame, percent: int, least: dict[int,
     return map_arrow(left.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "set_a", "set_b"), decide, "a long, b long")
 
 
-def _rest(clusters: DataFrame, comps: DataFrame, data: DataFrame, percent: int, least: dict[int, int]) -> DataFrame:
-    """Links between components of one cluster; clusters: leader, doc_id, without the leaders, which have been compared."""
-    known = clusters.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    known = materialize(known)
-    parts = known.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("leader").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("m")).filter("all > m.n").select("leader", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("mains"),
-                                                                                                                                  F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("rests"))
-    rows = known.join(sizes, "leader").withColumn("in_main", F.col("comp") == F.col("main"))
+def _rest(clusters: DataFrame, links: DataFrame, data: DataFrame, percent: int, least: dict[int, int]) -> DataFrame:
+    """Links within clusters of documents that aren't linked to the leader; clusters: leader, doc_id; links: a (the leader), b."""
+    linked = links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), F.lit(True).alias("in_main")).distinct()
+    known = materialize(clusters.join(linked, ["leader", "doc_id"], "left").select("leader", "doc_id", F.coalesce("in_main", F.lit(False)).alias("in_main")))
+    sizes = known.groupBy("leader").agg(F.ceil(F.count_if("in_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("in_main")) / BLOCK).cast("int").alias("rests"), F.count(F.lit(1)).alias("all"))
+    rows = known.join(sizes.filter("rests > 0 AND all > 1").drop("all"), "leader").withColumn("comp", F.when(F.col("in_main"), F.col("leader")).otherwise(F.col("doc_id")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
-    # block pairs (x, y): x is a block of the rest; y one of the main component (negative) or of the rest
+    # block pairs (x, y): x is a block of the rest; y one of those linked to the leader (negative) or of the rest
     with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.least(r, F.col("own")).alias("x"), F.greatest(r, F.col("own")).alias("y")))
-    with_main = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda m: F.struct(F.col("own").alias("x"), (-m).alias("y")))
+    with_main = F.transform(F.slice(F.sequence(F.lit(0), F.col("mains")), F.lit(2), F.col("mains")), lambda m: F.struct(F.col("own").alias("x"), (-m).alias("y")))
     from_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(r.alias("x"), (-F.col("own") - 1).alias("y")))
     rows = rows.withColumn("pair", F.explode(F.when(F.col("in_main"), from_main).otherwise(F.concat(with_rest, with_main))))
     rows = rows.select("leader", "pair.x", "pair.y", F.when(F.col("in_main"), -F.col("own") - 1).otherwise(F.col("own")).alias("own"), "doc_id", "comp").join(data, "doc_id")
@@ -241,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     wanted = clusters.select("doc_id").unionAll(clusters.select("leader")).distinct()
     data = materialize(map_arrow(id_text(docs).join(wanted, "doc_id", "left_semi"), describe, "doc_id long, n long, sig binary, set binary").filter("n > 0"))
     links = materialize(_verified(clusters.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), data, percent, least))
-    more = materialize(_rest(clusters, components(links), data, percent, least))
+    more = materialize(_rest(clusters, links, data, percent, least))
     comps = components(links.unionAll(more).unionAll(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(comps, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
