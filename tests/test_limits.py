@@ -10,6 +10,8 @@ from tickloom.operators import ledger as L
 from tickloom.operators.blocks import Grid
 from tickloom.operators.engines import close_engine
 from tickloom.operators.features import compute_genome
+from tickloom.operators.gates import top_share
+from tickloom.operators.quantiles import exact_quantiles, slot_edges, slot_of
 from tickloom.operators.selection import filter_diverse
 
 
@@ -54,3 +56,14 @@ def test_one_field_of_another_type_spoils_a_record(spark, tmp_path):
     assert [r.exp_id for r in L.parse_ledger(df).select("exp_id").collect()] == ["A"]
     df.write.text(f"{tmp_path}/lines")
     assert [r.exp_id for r in L.read_ledger(spark, f"{tmp_path}/lines").select("exp_id").collect()] == ["A"]
+
+
+def test_one_outlier_leaves_the_slots_even(spark):
+    values = [float(i) for i in range(20_000)] + [1e9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    slots = df.join(df.agg(slot_edges(F.col("v")).alias("e"))).groupBy(slot_of(F.col("v"), F.col("e")).alias("s")).count().agg(F.max("count")).first()[0]
+    assert slots < 20_000 / 50
+    got = {r.q: r.value for r in exact_quantiles(df.withColumn("k", F.lit(1)), ["k"], [("v", q) for q in (0.0, 0.25, 0.5, 0.99, 1.0)]).collect()}
+    assert got == {q: float(np.quantile(values, q)) for q in got}
+    same = spark.createDataFrame([(f"P{i:03d}", -100.0 + (i % 3)) for i in range(60)], "policy_id string, score double")
+    assert [(r["rank"], r.policy_id) for r in top_share(same, 0.05).orderBy("rank").collect()] == [(1, "P002"), (2, "P005"), (3, "P008")]

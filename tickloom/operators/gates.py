@@ -218,11 +218,14 @@ def stability(mean: Column, sd: Column, worst: Column, wr: Column, n: Column, mi
 def top_share(df: DataFrame, share: float, score: str = "score", tie: str = "policy_id") -> DataFrame:
     """Best ``share`` of the rows (rounded, at least one) with their rank.
 
-    Ranks come from counts of score buckets plus a rank inside the bucket, so the table is never sorted in one task.
+    Ranks come from counts of score buckets, cut at approximate percentiles, plus a rank inside the bucket, so the table is
+    never sorted in one task.
     """
     from tickloom.operators.blocks import with_bar_idx
+    from tickloom.operators.quantiles import slot_edges, slot_of
 
     keyed = df.withColumns({"_k": F.lit(0), "_o": F.struct((-F.col(score)).alias("a"), F.col(tie).alias("b"))})
-    ranked = with_bar_idx(keyed, ("_k",), "_o", F.floor(-F.col(score)))
+    keyed = keyed.join(F.broadcast(df.agg(slot_edges(-F.col(score)).alias("_edges")).withColumn("_k", F.lit(0))), "_k")
+    ranked = with_bar_idx(keyed.withColumn("_bucket", slot_of(-F.col(score), F.col("_edges"))).drop("_edges"), ("_k",), "_o", F.col("_bucket")).drop("_bucket")
     cut = df.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * share).cast("int")).alias("_n")).withColumn("_k", F.lit(0))
     return ranked.join(cut, "_k").filter(F.col("bar_idx") < F.col("_n")).withColumn("rank", F.col("bar_idx") + 1).drop("_k", "_o", "_n", "bar_idx")

@@ -1,17 +1,28 @@
 """Exact quantiles of large groups without gathering a group in one task.
 
-Values are counted, the value range of each group is cut into slots, slot counts locate the slot that
-holds each wanted rank, and only the rows of those slots are ordered.
+Values are counted, each group is cut into slots at approximate percentiles of its distinct values (so
+that no outlier crowds the rest into one slot), slot counts locate the slot that holds each wanted
+rank, and only the rows of those slots are ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.session import materialize
 
-SLOTS = 1024
+SLOTS = 256
+
+
+def slot_edges(value: Column) -> Column:
+    """Aggregate: the approximate percentiles at which values are cut; a sketch of bounded size."""
+    return F.percentile_approx(value, [i / SLOTS for i in range(1, SLOTS)], 4 * SLOTS)
+
+
+def slot_of(value: Column, edges: Column) -> Column:
+    """Number of edges below a value: grows with the value, the same for equal values."""
+    return F.size(F.filter(edges, lambda e: e < value)).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, float]]) -> DataFrame:
@@ -22,9 +33,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, floa
     counts = (long.select(*keys, "_e.col", "_e.v").filter(F.col("v").isNotNull())
               .groupBy(*keys, "col", "v").agg(F.count(F.lit(1)).alias("n")))
     counts = materialize(counts)  # read four times below
-    stats = counts.groupBy(*keys, "col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    rel = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    slotted = counts.join(stats, [*keys, "col"]).select(*keys, "col", "v", "n", F.floor(rel * (SLOTS - 1)).alias("slot"))
+    stats = counts.groupBy(*keys, "col").agg(slot_edges(F.col("v")).alias("edges"), F.sum("n").alias("total"))
+    slotted = counts.join(stats, [*keys, "col"]).select(*keys, "col", "v", "n", slot_of(F.col("v"), F.col("edges")).alias("slot"))
     by_slot = slotted.groupBy(*keys, "col", "slot").agg(F.sum("n").alias("sn"))
     upto = Window.partitionBy(*keys, "col").orderBy("slot")
     by_slot = by_slot.withColumn("before", F.sum("sn").over(upto) - F.col("sn"))
