@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import settings as S
 from tickloom.functions.num import rnd
 from tickloom.operators import backtest as BT
 
@@ -21,7 +22,10 @@ from tickloom.queries.trading_queries import compare_inputs
 from tickloom.session import materialize
 
 
-def scored(spark, sf, plan=None, policies=None, samples=3):
+SAMPLES = S.EVAL_CAPS[1][1]  # risk samples of the first stage
+
+
+def scored(spark, sf, plan=None, policies=None, samples=SAMPLES):
     bars = materialize(bars_d(spark, sf))
     plan = W.build(bars, "full", 1) if plan is None else plan(bars)
     return E.evaluate_samples(bars, policies or D.POLICIES, D.GENOME, plan, "BULL_RUN", 1, samples)
@@ -39,7 +43,7 @@ def stage(spark, sf):
 
 @query("pipe.experiment")
 def experiment(spark, sf):
-    s = scored(spark, sf, lambda b: W.contiguous(W.lengths(b), 1, "ALL"), D.POLICIES[:1])
+    s = scored(spark, sf, lambda b: W.contiguous(W.lengths(b), 1, "ALL"))
     return E.experiment(s).withColumns({c: rnd(c, 3) for c in ("cpcv_mean", "cpcv_worst", "cpcv_std", "pass_rate")})
 
 
@@ -48,7 +52,7 @@ def scenarios(spark, sf):
     to_plan = lambda b: W.scenarios(b, 400).select("symbol", F.col("scenario").alias("window_id"), F.col("start_idx").alias("w_start"), (F.col("end_idx") + 1).alias("w_end"))
     bars = materialize(bars_d(spark, sf))
     plan = materialize(to_plan(bars))
-    res = E.window_results(E.evaluate_samples(bars, D.POLICIES, D.GENOME, plan, "SIDEWAYS", 1, 2))
+    res = E.window_results(E.evaluate_samples(bars, D.POLICIES, D.GENOME, plan, "SIDEWAYS", 1, SAMPLES))
     label = regime_series(bars).select("symbol", "bar_idx", "regime_label").join(plan.select("symbol", "window_id", (F.col("w_end") - 1).alias("bar_idx")), ["symbol", "bar_idx"]).drop("bar_idx")
     return res.join(label, ["symbol", "window_id"]).select("policy_id", "symbol", "window_id", "regime_label", rnd("score", 3).alias("score"), rnd("avg_alpha", 3).alias("avg_alpha"))
 
@@ -67,7 +71,7 @@ def two_stage(spark, sf):
     genes = spark.createDataFrame([(p["policy_id"], g) for p in D.POLICIES for g in p["genome"]], "policy_id string, feature string")
     promoted = materialize(SEL.elites_and_explorers(fast, genes, 1, 1))
     keep = {r.policy_id for r in promoted.select("policy_id").collect()}  # the promoted few are driver-side rule text
-    full = E.stage_scores(scored(spark, sf, None, [p for p in D.POLICIES if p["policy_id"] in keep], 2)).groupBy("policy_id").agg(F.max("score").alias("full_score"))
+    full = E.stage_scores(scored(spark, sf, None, [p for p in D.POLICIES if p["policy_id"] in keep])).groupBy("policy_id").agg(F.max("score").alias("full_score"))
     j = fast.join(full, "policy_id", "left")
     return j.select("policy_id", rnd("score", 4).alias("fast_score"), rnd(F.coalesce("full_score", F.lit(-100.0)), 4).alias("full_score"), F.when(F.col("full_score").isNull(), "filtered_out").otherwise("evaluated").alias("status"))
 
