@@ -47,14 +47,37 @@ def src_klines(spark, sf):
     return ohlcv(B.parse_klines(payload))
 
 
-@query("src.csv_bars", """SELECT event_type AS symbol, ts, round(value + 0.0131719e-6, 6) + 0.0 AS open, round(value + 0.0131719e-6, 6) + 0.0 AS high,
+CSV_SQL = """SELECT event_type AS symbol, ts, round(value + 0.0131719e-6, 6) + 0.0 AS open, round(value + 0.0131719e-6, 6) + 0.0 AS high,
   round(value + 0.0131719e-6, 6) + 0.0 AS low, round(value + 0.0131719e-6, 6) + 0.0 AS close, 0.0 + round(0.0131719e-6, 6) AS volume
-  FROM (SELECT event_type, date_trunc('second', ts) AS ts, value FROM events WHERE event_id % 11 <> 0)""")
-def src_csv_bars(spark, sf):
+  FROM (SELECT event_type, date_trunc('second', ts) AS ts, value FROM events WHERE event_id % 11 <> 0)"""
+
+
+def csv_lines(spark, sf):
     ev = table(spark, sf, "events")
-    text = ev.select(F.when(F.col("event_id") % 11 == 0, "not a date").otherwise(F.date_trunc("second", "ts").cast("string")).alias("Date"),
+    return ev.select(F.when(F.col("event_id") % 11 == 0, "not a date").otherwise(F.date_trunc("second", "ts").cast("string")).alias("Date"),
                      F.col("value").cast("string").alias("Close"), F.col("event_type").alias("symbol"))
-    return ohlcv(B.parse_csv_bars(text))
+
+
+@query("src.csv_bars", CSV_SQL)
+def src_csv_bars(spark, sf):
+    return ohlcv(B.parse_csv_bars(csv_lines(spark, sf)))
+
+
+@query("src.csv_file", CSV_SQL)
+def src_csv_file(spark, sf):
+    """The same lines through CSV files with a header, one folder for each symbol."""
+    import uuid
+
+    from tickloom.session import shared_folder
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    lines = csv_lines(spark, sf)
+    lines.write.partitionBy("symbol").option("header", True).csv(path)
+    symbols = [r.symbol for r in lines.select("symbol").distinct().collect()]  # the few event types
+    parts = [B.read_csv_bars(spark, f"{path}/symbol={s}", s) for s in sorted(symbols)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ohlcv(out)
 
 
 @query("prep.union_ranges", f"""WITH {BARS_H}, parts AS (
