@@ -39,7 +39,7 @@ SIZE = BANDS * ROWS
 BATCH = 32
 BLOCK = 256
 COLUMNS = 8192
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 _rng = np.random.default_rng(77)
 FACTORS = _rng.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, SIZE, dtype=np.uint64)

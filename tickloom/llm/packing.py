@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import id_text, map_arrow, mix, powers, read_bytes, texts_of
 from tickloom.session import materialize
 
-MEMO = 2_000_000
-GROUP_CHARS = 1 << 20
+MEMO = 600_000
+GROUP_CHARS = 1 << 18
 #: Below this code point characters are told apart by tables; none of them combines with its neighbours.
 LATIN = 0x250
 BLANK, LETTER, DIGIT, OTHER, ODD = range(5)

@@ -26,7 +26,7 @@ from tickloom.llm.common import Words, map_arrow, mix, powers, row_key, texts_of
 from tickloom.session import materialize
 
 PARAGRAPH, STRETCH = 24, 16
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 
 def units(texts: list[str]) -> tuple[np.ndarray, ...]:
