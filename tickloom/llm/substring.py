@@ -82,9 +82,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     row = docs.schema["_row"].dataType.simpleString()
     made = map_arrow(docs, run, f"_row {row}, start int, end int, h1 long, h2 int").select("_row.doc_id", "_row.x", "start", "end", "h1", "h2")
     made = materialize(made)
-    often = made.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written before the joins, so that both sides of these are plain shuffles and hot digests can be split
+    often = materialize(made.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     again = materialize(made.join(often, ["h1", "h2"]).withColumn("_row", F.struct("doc_id", "x")).drop("doc_id", "x"))
-    first = again.groupBy("h1", "h2").agg(F.min(F.struct("_row", "start", "end")).alias("first"))
+    first = materialize(again.groupBy("h1", "h2").agg(F.min(F.struct("_row", "start", "end")).alias("first")))
     same = F.col("_row") == F.col("first._row")
     later = again.join(first, ["h1", "h2"]).filter(~(same & (F.col("start") < F.col("first.end"))))
     later = later.select("_row", "start", "end", F.col("first._row").alias("kept_row"), (F.col("start") - F.col("first.start")).alias("shift"))
@@ -110,6 +111,9 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else cut(t, [int(x) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
+_cut = _cut.asNondeterministic()  # evaluated once, also where filters on the text follow
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, kept_doc_id, kept_start: one row for each span that dedup_substrings() removes."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
