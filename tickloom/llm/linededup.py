@@ -67,7 +67,8 @@ def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
 
     row = docs.schema["_row"].dataType.simpleString()
     found = materialize(map_arrow(docs.select("_row", "text").filter("text IS NOT NULL"), windows, f"_row {row}, place long, finger long, digest long"))
-    first = found.groupBy("finger", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "place")).alias("first")).filter("n > 1").drop("n")
+    # written before the join, so that both sides of it are plain shuffles and hot windows can be split
+    first = materialize(found.groupBy("finger", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "place")).alias("first")).filter("n > 1").drop("n"))
     match = found.join(first, ["finger", "digest"]).filter(F.struct("_row", "place") != F.col("first"))
     match = match.select("_row", "place", F.col("first._row").alias("from_row"), F.col("first.place").alias("from_place"))
     # neighbours on a diagonal extend each other: a new run begins where the gap to the last match exceeds a window
@@ -92,6 +93,9 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n"])
 
 
+_cut = _cut.asNondeterministic()  # evaluated once, also where filters on the text follow
+
+
 def dedup_lines(docs: DataFrame, run: int = 2) -> DataFrame:
     """The columns of docs with text cut, and _n_lines (before) and _n_removed."""
     tune(docs.sparkSession)
