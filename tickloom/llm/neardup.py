@@ -181,8 +181,9 @@ def _rest(clusters: DataFrame, links: DataFrame, data: DataFrame, percent: int,
     """Links within clusters of documents that aren't linked to the leader; clusters: leader, doc_id; links: a (the leader), b."""
     linked = links.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), F.lit(True).alias("in_main")).distinct()
     known = materialize(clusters.join(linked, ["leader", "doc_id"], "left").select("leader", "doc_id", F.coalesce("in_main", F.lit(False)).alias("in_main")))
+    # tables that an aggregate makes are written before they are joined back, so that hot keys of the join can be split
     sizes = known.groupBy("leader").agg(F.ceil(F.count_if("in_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("in_main")) / BLOCK).cast("int").alias("rests"), F.count(F.lit(1)).alias("all"))
-    rows = known.join(sizes.filter("rests > 0 AND all > 1").drop("all"), "leader").withColumn("comp", F.when(F.col("in_main"), F.col("leader")).otherwise(F.col("doc_id")))
+    rows = known.join(materialize(sizes.filter("rests > 0 AND all > 1").drop("all")), "leader").withColumn("comp", F.when(F.col("in_main"), F.col("leader")).otherwise(F.col("doc_id")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     # block pairs (x, y): x is a block of the rest; y one of those linked to the leader (negative) or of the rest
     with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(F.least(r, F.col("own")).alias("x"), F.greatest(r, F.col("own")).alias("y")))
@@ -228,14 +229,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     signed = materialize(map_arrow(id_text(docs), sign, "doc_id long, digest binary, n long, keys array<long>"))
     usable = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    first = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    first = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     copies = materialize(usable.select("doc_id", "digest").join(first, "digest").filter("doc_id <> rep"))
     keyed = usable.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    full = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(keyed.join(full, "key"))
     weights = members.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("weight"))
     lead = members.join(weights, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"))).alias("m")).select("key", (-F.col("m.least")).alias("leader"))
-    clusters = materialize(members.join(lead, "key").filter("doc_id <> leader").select("leader", "doc_id").distinct())
+    clusters = materialize(members.join(materialize(lead), "key").filter("doc_id <> leader").select("leader", "doc_id").distinct())
     wanted = clusters.select("doc_id").unionAll(clusters.select("leader")).distinct()
     data = materialize(map_arrow(id_text(docs).join(wanted, "doc_id", "left_semi"), describe, "doc_id long, n long, sig binary, set binary").filter("n > 0"))
     links = materialize(_verified(clusters.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), data, percent, least))
