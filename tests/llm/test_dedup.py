@@ -208,3 +208,39 @@ def test_substring_dedup_repeated_rows_and_empty_table(spark):
     assert sorted((x.doc_id, len(x.text)) for x in out)[:2] == [(1, len(t))] * 2 and len(out[-1].text) < len(t)
     none = awkward(spark, [(1, "a")]).filter("doc_id = 2")
     assert not substring.dedup_substrings(none).count() and not substring.removed_spans(none).count()
+
+
+def test_every_repeated_run_goes_to_its_borders(spark, monkeypatch):
+    monkeypatch.setattr(substring, "STRETCH", 1)  # for brute_spans() only: units begin at every word
+    r = random.Random(8)
+    word = lambda: r.choice(["the", "of", *[f"w{r.randrange(10**5)}" for _ in range(6)]])
+    passage = [[word() for _ in range(n)] for n in (51, 39, 38, 30, 25, 24, 23)]
+    passage.append(passage[0][10:45] + [word() for _ in range(20)])
+    docs = {}
+    for i in range(60):
+        w = [word() for _ in range(r.randrange(0, 120))]
+        for p in r.sample(passage, r.randrange(0, 4)):
+            k = r.randrange(len(w) + 1)
+            w = w[:k] + p[r.randrange(3) :] + w[k:]
+        docs[i] = "".join(x + r.choice([" ", " ", "\n", "é "]) for x in w) if i % 2 else " ".join(w)
+    docs |= {70: "", 71: "in " * 300, 72: docs[4], 73: "a b c " * 40, 74: "x " + docs[6]}
+    want = brute_spans(docs)
+    out = {x.doc_id: x.text for x in substring.dedup_substrings(awkward(spark, [*docs.items(), (80, None)]), every=True).collect()}
+    for i, t in docs.items():
+        assert words_of(out[i]) == words_of("".join(c if k not in want[i] else " " for k, c in enumerate(t))), i
+    gone = {i: set() for i in docs}
+    for x in substring.removed_spans(awkward(spark, [*docs.items()]), every=True).collect():
+        gone[x.doc_id].update(range(x.start, x.end))
+        n = len(words_of(docs[x.doc_id][x.start : x.end]))
+        assert words_of(docs[x.kept_doc_id][x.kept_start :])[:n] == words_of(docs[x.doc_id][x.start : x.end])
+    for i, t in docs.items():
+        assert {k for k in gone[i] if not t[k].isspace()} == {k for k in want[i] if not t[k].isspace()}, i
+
+
+def test_substring_query_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(substring, "STRETCH", 1)
+    docs = texts()
+    want, gone = brute_spans(docs), {i: set() for i in docs}
+    for x in Q.op10(spark, SF).collect():
+        gone[x.doc_id].update(range(x.start, x.end))
+    assert {i: {k for k in g if not docs[i][k].isspace()} for i, g in gone.items()} == {i: {k for k in g if not docs[i][k].isspace()} for i, g in want.items()}

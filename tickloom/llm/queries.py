@@ -109,4 +109,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.removed_spans(table(spark, sf_dir, "documents"))
+    return substring.removed_spans(table(spark, sf_dir, "documents"), every=True)
