@@ -22,6 +22,8 @@ equal anchors.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -147,8 +149,14 @@ def later_windows(found: DataFrame, goes: Column | None = None) -> DataFrame:
     return found.filter(F.lit(True) if goes is None else goes).join(materialize(first), ["h1", "h2"]).filter(~(same & (F.col("start") < F.col("first.end"))))
 
 
-def every_later(docs: DataFrame) -> DataFrame:
-    """_row, start, end, first of windows of PARAGRAPH words that cover all words to remove."""
+def release(docs: DataFrame) -> None:
+    """Let the driver see now which shuffles and checkpoints nothing reads any more, so that their files go."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """doc_id, x, place, key, start, end, h1, h2 of the anchors (see anchors()) that repeat."""
     row = docs.schema["_row"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,17 +164,19 @@ def every_later(docs: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column("_row").take(pa.array(doc)), pa.array(place), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(one), pa.array(two)],
                                ["_row", "place", "key", "start", "end", "h1", "h2"])
 
-    def rest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, start, end, one, two, goes = grouped(batch, windows_at, batch.column("places").to_pylist(), batch.column("goes").to_pylist())
-        return pa.record_batch([batch.column("_row").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(one), pa.array(two), pa.array(goes)],
-                               ["_row", "start", "end", "h1", "h2", "goes"])
-
+    keys = map_arrow(docs, lambda batch: pa.record_batch([pa.array(grouped(batch, anchors)[2])], ["key"]), "key long")
+    often = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    release(docs)
+    # anchors are made twice rather than written
     made = map_arrow(docs, run, f"_row {row}, place long, key long, start int, end int, h1 long, h2 int").select("_row.doc_id", "_row.x", "place", "key", "start", "end", "h1", "h2")
-    keys_of = map_arrow(docs, lambda batch: pa.record_batch([pa.array(grouped(batch, anchors)[2])], ["key"]), "key long")
-    often = materialize(keys_of.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    again = materialize(made.join(often, "key"))  # anchors are made twice rather than written
-    inside = materialize(later_windows(again.filter("end > 0").drop("key")))
-    # an anchor is done when the units that go cover all its windows; the first of its kind has no earlier copy
+    return materialize(made.join(often, "key"))
+
+
+def open_anchors(again: DataFrame, inside: DataFrame) -> DataFrame:
+    """doc_id, x, place, key of the anchors whose windows may go and aren't covered by those of inside.
+
+    An anchor is done when the windows that go cover all of its own; the first of its kind has no earlier copy.
+    """
     word, lo = F.shiftright("place", 8), F.shiftright("place", 8) - F.shiftright("place", 4).bitwiseAND(15)
     line = Window.partitionBy("doc_id", "x").orderBy("place")
     before = F.lag("place").over(line)
@@ -175,16 +185,43 @@ def every_later(docs: DataFrame) -> DataFrame:
     chained = chained.withColumn("since", F.last(F.when(F.col("fresh"), F.col("word")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     done = chained.filter("since <= lo").select("doc_id", "x", "place").distinct()
     first = again.groupBy("key").agg(F.min(F.struct("doc_id", "x", "place")).alias("first"))
-    open_ = again.join(materialize(first), "key").filter(F.struct("doc_id", "x", "place") != F.col("first")).select("doc_id", "x", "place", "key")
-    open_ = materialize(open_.join(done, ["doc_id", "x", "place"], "left_anti"))
-    keys = materialize(open_.select("key").distinct())
-    # windows of other anchors are copied from, but don't go by this step
+    later = again.join(materialize(first), "key").filter(F.struct("doc_id", "x", "place") != F.col("first")).select("doc_id", "x", "place", "key")
+    return materialize(later.join(done, ["doc_id", "x", "place"], "left_anti"))
+
+
+def open_windows(docs: DataFrame, again: DataFrame, inside: DataFrame) -> DataFrame:
+    """doc_id, x, start, end, h1, h2, goes of the windows of open anchors (goes) and of all others that they may copy."""
+    row = docs.schema["_row"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, start, end, one, two, goes = grouped(batch, windows_at, batch.column("places").to_pylist(), batch.column("goes").to_pylist())
+        return pa.record_batch([batch.column("_row").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(one), pa.array(two), pa.array(goes)],
+                               ["_row", "start", "end", "h1", "h2", "goes"])
+
+    left = open_anchors(again, inside)
+    release(docs)
+    keys = materialize(left.select("key").distinct())
     places = again.join(keys, "key").select("doc_id", "x", "place", F.lit(None).cast("long").alias("goes"))
-    places = places.unionByName(open_.select("doc_id", "x", "place", F.col("place").alias("goes")))
-    places = places.groupBy(F.struct("doc_id", "x").alias("_row")).agg(F.collect_set("place").alias("places"), F.collect_set("goes").alias("goes"))
-    found = map_arrow(docs.join(materialize(places), "_row"), rest, f"_row {row}, start int, end int, h1 long, h2 int, goes boolean")
-    edges = later_windows(materialize(found.select("_row.doc_id", "_row.x", "start", "end", "h1", "h2", "goes")), F.col("goes"))
-    return inside.select("doc_id", "x", "start", "end", "first").unionByName(edges.select("doc_id", "x", "start", "end", "first")).withColumn("_row", F.struct("doc_id", "x"))
+    places = places.unionByName(left.select("doc_id", "x", "place", F.col("place").alias("goes")))
+    places = materialize(places.groupBy(F.struct("doc_id", "x").alias("_row")).agg(F.collect_set("place").alias("places"), F.collect_set("goes").alias("goes")))
+    release(docs)
+    found = map_arrow(docs.join(places, "_row"), run, f"_row {row}, start int, end int, h1 long, h2 int, goes boolean")
+    return materialize(found.select("_row.doc_id", "_row.x", "start", "end", "h1", "h2", "goes"))
+
+
+def every_later(docs: DataFrame) -> DataFrame:
+    """_row, start, end, first of windows of PARAGRAPH words that cover all words to remove."""
+    again = repeated_anchors(docs)
+    release(docs)
+    inside = materialize(later_windows(again.filter("end > 0").drop("key")))
+    found = open_windows(docs, again, inside)
+    inside = inside.select("doc_id", "x", "start", "end", "first")
+    del again
+    release(docs)
+    edges = materialize(later_windows(found, F.col("goes")).select("doc_id", "x", "start", "end", "first"))
+    del found
+    release(docs)
+    return inside.unionByName(edges).withColumn("_row", F.struct("doc_id", "x"))
 
 
 def unit_later(docs: DataFrame) -> DataFrame:
