@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.features import REGISTRY
+from tickloom.session import shared_folder
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -17,9 +18,17 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
-def train_direction(df: DataFrame, features: list[str], label: str = "label", rounds: int = 10):
+def _checkpoints(df: DataFrame) -> None:
+    """Boosting cuts its lineage every ten rounds, where a checkpoint folder is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+
+
+def train_direction(df: DataFrame, features: list[str], label: str = "label", rounds: int = 100):
     """Gradient-boosted up / not-up classifier."""
-    return GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, seed=42).fit(assemble(df, features))
+    _checkpoints(df)
+    return GBTClassifier(labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=3, seed=42).fit(assemble(df, features))
 
 
 def train_tactical(df: DataFrame, features: list[str], label: str = "label", trees: int = 100):
@@ -27,12 +36,13 @@ def train_tactical(df: DataFrame, features: list[str], label: str = "label", tre
     return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=5, seed=42).fit(assemble(df, features))
 
 
-def train_guard(df: DataFrame, features: list[str], label: str = "label", rounds: int = 10):
-    """Boosted gate with classes weighted to balance."""
+def train_guard(df: DataFrame, features: list[str], label: str = "label", rounds: int = 1000):
+    """Boosted gate with classes weighted to balance; depth 5 stands for 31 leaves, which pyspark.ml cannot bound."""
+    _checkpoints(df)
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_t"))
     weighted = df.join(F.broadcast(n), label).join(F.broadcast(total)).withColumn("_w", F.col("_t") / (2.0 * F.col("_n")))
-    return GBTClassifier(labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=3, seed=42).fit(assemble(weighted, features))
+    return GBTClassifier(labelCol=label, weightCol="_w", maxIter=rounds, stepSize=0.05, maxDepth=5, seed=42).fit(assemble(weighted, features))
 
 
 def predict(model, df: DataFrame, features: list[str]) -> DataFrame:
