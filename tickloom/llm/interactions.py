@@ -16,13 +16,13 @@ table has no rows.
 from __future__ import annotations
 
 import functools
+import json
 from itertools import combinations, permutations
 from math import factorial
 from string import ascii_uppercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tickloom.session import materialize
 
@@ -58,18 +58,16 @@ def failing(docs: DataFrame, part: str = "source", filters=standard_filters, cop
 
 def removals(ids: DataFrame, names: list[str]) -> DataFrame:
     """part, prefix (bits of the filters applied before), filter (its bit), removed, good, toxic; ids: key, part, n, good, toxic and the filters."""
-    base = ids.select("key")
     tables = {f: materialize(ids.filter(f).select("key", "part", "n", "good", "toxic")) for f in names}
     every = functools.reduce(DataFrame.unionByName, [t.withColumn("filter", F.lit(1 << i)) for i, t in enumerate(tables.values())])
     every = materialize(every)
-    found = []
+    left, found = {(): ids.select("key")}, []
     for size in range(len(names)):
         for prefix in combinations(range(len(names)), size):
             bits = sum(1 << i for i in prefix)
-            left = base
-            for i in prefix:
-                left = left.join(tables[names[i]].select("key"), "key", "left_anti")
-            removed = every.filter(F.col("filter").bitwiseAND(bits) == 0).join(left, "key", "left_semi")
+            if prefix:
+                left[prefix] = left[prefix[:-1]].join(tables[names[prefix[-1]]].select("key"), "key", "left_anti")
+            removed = every.filter(F.col("filter").bitwiseAND(bits) == 0).join(left[prefix], "key", "left_semi")
             found.append(removed.select("part", F.lit(bits).alias("prefix"), "filter", "n", "good", "toxic"))
     total = lambda c: F.sum(c).cast("long")
     joined = functools.reduce(DataFrame.unionByName, found)
@@ -78,14 +76,14 @@ def removals(ids: DataFrame, names: list[str]) -> DataFrame:
 
 
 def orders(names: list[str]) -> Column:
-    """All orders and steps: order, step, filter (its bit), prefix (bits before it)."""
+    """All orders and steps as an array: filter_order, step, filter (its bit), prefix (bits before it)."""
     rows = []
     for order in permutations(range(len(names))):
         bits = 0
         for step, i in enumerate(order, 1):
-            rows.append(F.struct(F.lit("".join(names[j] for j in order)).alias("filter_order"), F.lit(step).alias("step"), F.lit(1 << i).alias("filter"), F.lit(bits).alias("prefix")))
+            rows.append({"filter_order": "".join(names[j] for j in order), "step": step, "filter": 1 << i, "prefix": bits})
             bits |= 1 << i
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<filter_order: string, step: int, filter: int, prefix: int>>")
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "source", filters=standard_filters, copies: str = "E") -> DataFrame:
