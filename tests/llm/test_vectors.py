@@ -148,3 +148,37 @@ def test_quality_awkward_rows(spark):
     assert {r._q for r in out if not r.text} == {0.5}
     assert len(quality.score(docs, quality.fit(docs, labels.limit(0))).collect()) == 8
     assert not quality.score(docs.filter("doc_id = 77"), model).count()
+
+
+def brute_votes(model, text):
+    """The score of one text: all cosines by a plain loop, the largest 15 with their ties, similarity to the power of 8."""
+    x = quality.features([text])[0].astype(float)
+    y = [math.fsum(x * model.basis[:, j]) for j in range(model.basis.shape[1])]
+    size = math.sqrt(math.fsum(a * a for a in y))
+    near = []
+    for v, d, label in zip(model.vectors, model.digests, model.labels, strict=True):
+        cos = round(math.fsum(a * b for a, b in zip(y, v, strict=True)) / max(size, 1e-12), 9)
+        if d != quality.digest(text) and cos > 0:
+            near.append((cos, label))
+    near.sort(reverse=True)
+    near = [p for p in near if p[0] >= near[min(15, len(near)) - 1][0]]
+    total = sum(c**8 for c, _ in near)
+    return sum(c**8 * label for c, label in near) / total if total > 1e-9 else model.prior
+
+
+def test_quality_votes_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    known = texts()
+    again = {10**6 + i: t for i, t in known.items() if i % 7 == 0} | {10**7 + i: t for i, t in known.items() if i % 21 == 0} | {-1: "", -2: "zzz", -3: LONG}
+    rows = spark.createDataFrame([*known.items(), *again.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(rows.repartition(5), model).collect()}
+    by_text = {}
+    for i, t in (known | again).items():
+        assert by_text.setdefault(t, got[i]) == got[i]
+    for t, score in by_text.items():
+        assert abs(score - brute_votes(model, t)) < 1e-6
+    full, _, v = np.linalg.svd(np.stack([quality.features([t])[0] for i, t in sorted(known.items())][:60]).astype(float), full_matrices=False)
+    small = quality.Model(np.stack([quality.features([t])[0] for i, t in sorted(known.items())][:60]), np.arange(60), np.arange(60) % 2)
+    ours = small.basis[:, :10]
+    assert full.shape[1] and np.linalg.norm(ours - v[:10].T @ (v[:10] @ ours)) < 0.05 * np.linalg.norm(ours)

@@ -3,17 +3,21 @@
 Terms of a whole text are its words, trigrams of byte classes (which show layout, case and punctuation in any language) and how its
 words repeat their neighbours, hashed to fixed bins. Each block is log-scaled and normalised; a truncated singular value
 decomposition of labelled texts gives the latent space. A document's vector meets all labelled vectors in blocked
-products (both sides unit length, so these are cosines); the NEIGHBOURS largest vote with a power of their similarity.
+products (both sides unit length, so these are cosines, in double precision); the NEIGHBOURS largest, and all that tie with the last of
+them, vote with a power of their similarity.
 
 The labelled side is a bounded sample: at most PER_CLASS rows of each label, those whose id hashes lowest. It has a fixed
 size (PER_CLASS * 2 vectors of RANK numbers, and the basis), so it is broadcast. Labels, language, source and id are no inputs
-of a score: a row's own label doesn't vote for it. Null text counts as empty; a text without terms has no similarity to
+of a score: labelled texts equal to the scored one have no vote, whatever their ids, so a row's own label doesn't vote for it, and
+equal texts have equal scores. Null text counts as empty; a text without terms has no similarity to
 anything and gets the share of label 1 in the sample. Rows repeat as they are. Without labelled rows every score is 0.5.
 Labels that are null or not 0 or 1, null ids and ids without a text are no labels; an id with several labels counts by its smallest.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +44,10 @@ def byte_classes() -> np.ndarray:
 CLASSES = byte_classes()
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def features(texts: list[str]) -> np.ndarray:
     """A row of BINS numbers for each text."""
     w, n = Words(texts), len(texts)
@@ -73,9 +81,9 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """basis: BINS x RANK; vectors: unit rows of the labelled sample with ids and labels."""
+    """basis: BINS x RANK; vectors: unit rows of the labelled sample with digests of their texts and labels."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: np.ndarray, digests: np.ndarray, labels: np.ndarray):
         rng = np.random.default_rng(11)
         rank = min(RANK, *x.shape) if len(x) else 0
         q = rng.normal(size=(x.shape[1], min(rank + 16, x.shape[1]))).astype(np.float32)
@@ -83,29 +91,29 @@ class Model:
             q, _ = np.linalg.qr(x.T @ (x @ q))
         if rank:
             _, _, v = np.linalg.svd(x @ q, full_matrices=False)
-            self.basis = (q @ v[:rank].T).astype(np.float32)
+            self.basis = (q @ v[:rank].T).astype(np.float64)
         else:
-            self.basis = np.zeros((x.shape[1], 1), np.float32)
-        self.ids, self.labels = ids, labels.astype(np.float64)
-        self.vectors = self.place(x) if len(x) else np.zeros((0, 1), np.float32)
+            self.basis = np.zeros((x.shape[1], 1))
+        self.digests, self.labels = digests, labels.astype(np.float64)
+        self.vectors = self.place(x) if len(x) else np.zeros((0, 1))
         self.prior = float(self.labels.mean()) if len(labels) else 0.5
 
     def place(self, x: np.ndarray) -> np.ndarray:
         y = x @ self.basis
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
 
-    def scores(self, texts: list[str], ids: list[int | None]) -> np.ndarray:
-        y = self.place(features(texts))
-        if not len(self.ids):
+    def scores(self, texts: list[str]) -> np.ndarray:
+        y = self.place(features(texts).astype(np.float64))
+        if not len(self.digests):
             return np.full(len(texts), self.prior)
-        near = y @ self.vectors.T
-        near[np.array([-1 if i is None else i for i in ids])[:, None] == self.ids] = 0
+        near = np.maximum(np.round(y @ self.vectors.T, 9), 0)  # products of different blocks differ in the last bits
+        near[np.array([digest(t) for t in texts])[:, None] == self.digests] = 0
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** POWER
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+        near[near < least[:, None]] = 0
+        weight = near**POWER
         total = weight.sum(1)
-        votes = (weight * self.labels[at]).sum(1)
-        return np.clip(np.where(total > 1e-9, votes / np.maximum(total, 1e-300), self.prior), 0, 1)
+        return np.clip(np.where(total > 1e-9, weight @ self.labels / np.maximum(total, 1e-300), self.prior), 0, 1).round(12)
 
 
 def groups(texts: list[str]) -> list[slice]:
@@ -136,14 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Colu
             for row in features(texts[part]):
                 at = np.flatnonzero(row)
                 out.append((at.astype(np.uint16).tobytes(), row[at].tobytes()))
-        return pa.record_batch([batch.column("doc_id"), batch.column("_label"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())],
-                               ["doc_id", "_label", "at", "values"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("_label"), pa.array([digest(t) for t in texts], pa.int64()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())],
+                               ["doc_id", "_label", "digest", "at", "values"])
 
-    made = map_arrow(rows, run, "doc_id long, _label int, at binary, values binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    made = map_arrow(rows, run, "doc_id long, _label int, digest long, at binary, values binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     x = np.zeros((len(made), BINS), np.float32)
     for i, r in enumerate(made):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["values"], np.float32)
-    return Model(x, np.array([r["doc_id"] for r in made], np.int64), np.array([r["_label"] for r in made], np.int64))
+    return Model(x, np.array([r["digest"] for r in made], np.int64), np.array([r["_label"] for r in made], np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -151,12 +159,12 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     keep = [c for c in keep or ["doc_id"] if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = {f.name: f for f in docs.schema}
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"k{i} {fields[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ids = texts_of(batch, "_text"), batch.column("_id").to_pylist()
-        out = np.concatenate([shared.value.scores(texts[part], ids[part]) for part in groups(texts)])
+        texts = texts_of(batch, "_text")
+        out = np.concatenate([shared.value.scores(texts[part]) for part in groups(texts)])
         names = [f"k{i}" for i in range(len(keep))]
         return pa.record_batch([*[batch.column(c) for c in names], pa.array(out)], [*names, "score"])
 
