@@ -38,3 +38,12 @@ def test_empty_and_plan_without_python(spark):
     assert not chat.read_back(chat.format_conversations(df)).count() and not chat.examples(chat.format_conversations(df)).count()
     plan = Q.op7(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_examples_are_exploded_in_the_query(spark):
+    plan = Q.op7(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(examples" in plan
+    n, long = 400, "word " * 2000
+    rows = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"{long}{k}") for k in range(n)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_conversations(rows)).first()
+    assert got.loss == "".join(f"{long}{k}" for k in range(1, n, 2)) and len(got.turns) == n

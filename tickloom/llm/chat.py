@@ -1,8 +1,9 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
 A conversation becomes one marked-up text; every assistant turn becomes an example whose context is the prefix of that
-text before the reply and whose only trainable part is the reply. Examples are kept as offsets into the shared text, so
-the output grows with the turns and not with the sum of all prefixes; `examples()` cuts the strings out. Control strings
+text before the reply and whose only trainable part is the reply. `examples()` explodes them, one row each; until then they are
+offsets into the shared text, so what is shuffled grows with the turns and not with the sum of all prefixes. What is trained on is read back from the exploded
+examples, regrouped by conversation in the order of their turns. Control strings
 in texts are escaped reversibly: "~" becomes "~0", then "<|" becomes "<~1|"; roles also turn a line feed into "~2".
 
 Null text or role counts as empty. Rows of equal turn are ordered by role, then text; repeated rows are kept; rows of a
@@ -52,7 +53,7 @@ def examples(formatted: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role and text), loss (text under the loss mask), formatted_chars, all from the output alone."""
+    """conv_id, turns (array of role and text), loss (text under the loss masks of its examples), formatted_chars, all from the output alone."""
     marked = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
 
     def parse(piece: Column) -> Column:
@@ -61,5 +62,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = F.substring(piece, cut + 1, F.length(piece))
         return F.struct(unescape(role, True).alias("role"), unescape(text).alias("text"))
 
-    loss = F.transform("examples", lambda e: unescape(F.substring(F.col("formatted"), (e["loss_start"] + 1).cast("int"), e["loss_chars"].cast("int"))))
-    return formatted.select("conv_id", F.transform(marked, parse).alias("turns"), F.array_join(loss, "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    replies = examples(formatted).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "target"))).alias("_replies"))
+    loss = F.array_join(F.transform(F.coalesce("_replies", F.array().cast("array<struct<turn: int, target: string>>")), lambda r: unescape(r["target"])), "")
+    whole = formatted.select(F.col("conv_id").alias("_conv"), F.transform(marked, parse).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
+    joined = whole.join(replies, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
+    return joined.select(F.col("_conv").alias("conv_id"), "turns", loss.alias("loss"), "formatted_chars")
