@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, bpe, chat, fingerprint, fst, interactions, linededup, neardup, packing, quality, resampling, substring
+from tickloom.llm import ann, bpe, chat, fingerprint, fst, graphdup, interactions, linededup, neardup, packing, quality, resampling, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +142,8 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 @query("op13_filter_audit", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_embedding_neardup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphdup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
