@@ -67,7 +67,8 @@ def removals(ids: DataFrame, names: list[str]) -> DataFrame:
             bits = sum(1 << i for i in prefix)
             if prefix:
                 left[prefix] = left[prefix[:-1]].join(tables[names[prefix[-1]]].select("key"), "key", "left_anti")
-            removed = every.filter(F.col("filter").bitwiseAND(bits) == 0).join(left[prefix], "key", "left_semi")
+            # failing ids of the prefix's own filters meet no survivor; without a filter all sets read one exchange of this table
+            removed = every.join(left[prefix], "key", "left_semi")
             found.append(removed.select("part", F.lit(bits).alias("prefix"), "filter", "n", "good", "toxic"))
     total = lambda c: F.sum(c).cast("long")
     joined = functools.reduce(DataFrame.unionByName, found)
