@@ -17,7 +17,8 @@ from tickloom.operators.features import compute_genome
 from tickloom.plans import evaluate as E
 from tickloom.queries import demo as D
 from tickloom.queries.base import ORACLE, bars_d, query
-from tickloom.queries.report_queries import voled
+from tickloom.queries.report_queries import EVENTS_SQL, voled
+from tickloom.queries.sqlkit import r6
 from tickloom.queries.trading_queries import compare_inputs
 from tickloom.session import materialize
 
@@ -80,27 +81,45 @@ FEATURES = ["MOMENTUM_RSI_V1__rsi", "TREND_SMA_V1__sma", "VOLATILITY_STD_V1__std
 
 
 def dataset(spark, sf):
-    """Features with barrier labels (1 = upper barrier first)."""
-    lab = L.barrier_events(voled(spark, sf)).select("symbol", "bar_idx", F.when(F.col("label") == 1, 1.0).otherwise(0.0).alias("label"))
-    return materialize(compute_genome(bars_d(spark, sf), D.GENOME).join(lab, ["symbol", "bar_idx"]).select("symbol", "bar_idx", "label", *FEATURES))
+    """Features with barrier labels (-1, 0, 1) and the folds of cross-validation over time."""
+    bars = materialize(bars_d(spark, sf))
+    lab = L.barrier_events(voled(spark, sf)).select("symbol", "bar_idx", "label")
+    rows = compute_genome(bars, D.GENOME).join(lab, ["symbol", "bar_idx"]).select("symbol", "bar_idx", "label", *FEATURES)
+    return materialize(ML.folded(rows, bars))
+
+
+FOLDS_SQL = f"""{EVENTS_SQL}, sz AS (SELECT symbol, max(bar_idx) + 1 AS n FROM bars GROUP BY 1),
+x AS (SELECT symbol, bar_idx, label, n // 3 AS size, floor(n * 0.01) AS gap, least(bar_idx // (n // 3), 2) AS own FROM lab JOIN sz USING (symbol)),
+lf AS (SELECT x.*, f::INT AS fold FROM x, range(3) AS r(f) WHERE own <> f AND NOT (f < 2 AND bar_idx >= (f + 1) * size AND bar_idx < (f + 1) * size + gap))"""
+
+
+@query("ml.dataset", f"""{FOLDS_SQL}, c AS (SELECT fold, label = 1 AS positive, count(*) AS n FROM lf GROUP BY ALL)
+SELECT fold, positive, n::BIGINT AS n, {r6('sum(n) OVER (PARTITION BY fold) / (2 * n)')} AS weight FROM c""")
+def class_weights(spark, sf):
+    return ML.class_weights(dataset(spark, sf)).withColumn("weight", rnd("weight"))
+
+
+@query("ml.direction")
+def direction(spark, sf):
+    df = dataset(spark, sf)
+    out = ML.predict_direction(ML.train_direction(df, FEATURES), df)
+    return out.select("symbol", "bar_idx", "fold", "label", *[rnd(c, 4).alias(c) for c in ("p_down", "p_flat", "p_up")], "direction")
 
 
-def _predicted(train):
-    def run(spark, sf):
-        df = dataset(spark, sf)
-        out = ML.predict(train(df, FEATURES), df, FEATURES)
-        sig, scale = L.guard_scale(F.col("p"))
-        return out.select("symbol", "bar_idx", "label", rnd("p", 4).alias("p"), sig.alias("signal"), rnd(scale, 4).alias("scale"))
-    return run
+@query("ml.tactical")
+def tactical(spark, sf):
+    return ML.out_of_fold_forest(dataset(spark, sf), FEATURES).select("symbol", "bar_idx", "fold", "label", rnd("p", 4).alias("p"))
 
 
-query("ml.direction")(_predicted(ML.train_direction))
-query("ml.tactical")(_predicted(ML.train_tactical))
-query("ml.guard")(_predicted(ML.train_guard))
+@query("ml.guard")
+def guard(spark, sf):
+    df = dataset(spark, sf)
+    sig, scale = L.guard_scale(F.col("p"))
+    return ML.predict_guard(ML.train_guard(df, FEATURES), df).select("symbol", "bar_idx", "fold", "label", rnd("p", 4).alias("p"), sig.alias("signal"), rnd(scale, 4).alias("scale"))
 
 
 @query("ml.importance")
 def importance(spark, sf):
-    imp = ML.importance(spark, ML.train_guard(dataset(spark, sf), FEATURES), FEATURES)
+    imp = ML.importance(spark, ML.train_guard(dataset(spark, sf), FEATURES))
     by = imp.groupBy("category").agg(F.sum("importance").alias("importance"))
     return imp.select(F.lit("feature").alias("kind"), F.col("feature").alias("name"), rnd("importance", 4).alias("importance")).unionByName(by.select(F.lit("category").alias("kind"), F.col("category").alias("name"), rnd("importance", 4).alias("importance")))
