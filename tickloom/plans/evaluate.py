@@ -17,10 +17,12 @@ from tickloom.operators import gates as G
 from tickloom.operators import metrics as M
 from tickloom.operators import windows as W
 from tickloom.operators.backtest import benchmark_return
-from tickloom.operators.blocks import running
 from tickloom.operators.context import with_columns_on
+from tickloom.operators.curves import held_stats
 from tickloom.operators.engines import close_engine, state_gate
 from tickloom.operators.features import compute_genome
+from tickloom.operators.labels import pbo
+from tickloom.operators.reports import qa_report
 from tickloom.operators.rules import policy_signals, text_complexity
 from tickloom.session import materialize
 
@@ -52,8 +54,8 @@ def sample_params(bars: DataFrame, policies: list[dict], plan: DataFrame, regime
     return materialize(s.select("policy_id", "window_id", "sample_id", "tp_pct", "sl_pct", "max_hold", "cost_bps"))
 
 
-def sample_metrics(signals: DataFrame, trades: DataFrame, params: DataFrame, policies: DataFrame, stage_id: int) -> DataFrame:
-    """One metrics row per policy, symbol, window and sample, trades or not."""
+def sample_metrics(signals: DataFrame, closes: DataFrame, trades: DataFrame, params: DataFrame, policies: DataFrame, stage_id: int) -> DataFrame:
+    """One metrics row per policy, symbol, window and sample, trades or not; closes: the bars of every window, counted from its start."""
     win = signals.groupBy(*PSW).agg(
         F.count(F.lit(1)).alias("bars_total"), F.avg(F.col("entry").cast("double")).alias("entry_signal_rate"), F.avg(F.col("act").cast("double")).alias("act_rate_bars"),
         F.min_by("close", "bar_idx").alias("_first"), F.max_by("close", "bar_idx").alias("_last"))
@@ -63,13 +65,9 @@ def sample_metrics(signals: DataFrame, trades: DataFrame, params: DataFrame, pol
     cyc = M.cycle_stats(M.cycles(t, total.select(*KEYS, "bars_total"), KEYS), total.select(*KEYS, "bars_total"), KEYS).select(*KEYS, "cycle_count", "entry_count", "avg_hold_bars")
     grow = 1 + F.col("ret")
     net = t.groupBy(*KEYS).agg((F.exp(F.sum(F.ln(F.greatest(grow, F.lit(1e-12))))) - 1).alias("net"), F.sum(F.col("exit_idx") - F.col("entry_idx") + F.col("open_at_end").cast("int")).alias("held"))
-    # gross returns exist only on held bars: trades are unrolled to their bars, flat bars add nothing but a count
-    bar_ret = with_columns_on(signals.filter(F.col("policy_id").isNotNull()).select(*PSW, "bar_idx", "close"), lambda s: {"r": F.coalesce(s.pct("close"), F.lit(0.0))}, keys=tuple(PSW)).select(*PSW, "bar_idx", "r")
-    held = t.select(*KEYS, F.explode(F.when(F.col("exit_idx") > F.col("entry_idx"), F.sequence(F.col("entry_idx") + 1, F.col("exit_idx")))).alias("bar_idx"))
-    held = materialize(held.join(bar_ret, [*PSW, "bar_idx"]))
-    curve = running(held, {"_log": ("sum", F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12))))}, tuple(KEYS))
-    curve = running(curve, {"_peak": ("max", F.col("_log"))}, tuple(KEYS))
-    risk = curve.groupBy(*KEYS).agg(F.sum("r").alias("_s"), F.sum(F.col("r") * F.col("r")).alias("_ss"), F.max(1 - F.exp(F.col("_log") - F.greatest("_peak", F.lit(0.0)))).alias("_mdd"), F.max_by("_log", "bar_idx").alias("_end"))
+    # gross returns exist only on held bars; flat bars add nothing but a count
+    returns = with_columns_on(closes, lambda s: {"r": F.coalesce(s.pct("close"), F.lit(0.0))}, keys=("symbol", "window_id")).select("symbol", "window_id", "bar_idx", "r")
+    risk = held_stats(returns, t, ("symbol", "window_id"), tuple(KEYS)).select(*KEYS, F.col("sum_r").alias("_s"), F.col("sum_rr").alias("_ss"), F.col("drawdown").alias("_mdd"), F.col("log_growth").alias("_end"))
     j = total.join(stats, KEYS).join(cyc, KEYS).join(net, KEYS, "left").join(risk, KEYS, "left").join(F.broadcast(policies.select("policy_id", "complexity_score")), "policy_id")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     n = F.col("bars_total") - 1
@@ -94,7 +92,8 @@ def evaluate_samples(bars: DataFrame, policies: list[dict], genome: dict, plan:
     signals = window_signals(bars, policies, genome, plan, stage_id)
     params = sample_params(bars, policies, plan, regime, samples)
     trades = materialize(close_engine(signals, params, tuple(PSW)))
-    return materialize(score_samples(sample_metrics(signals, trades, params, policy_table(bars, policies), stage_id)))
+    closes = W.assign(bars, plan).select("symbol", "window_id", (F.col("bar_idx") - F.col("w_start")).alias("bar_idx"), "close")
+    return materialize(score_samples(sample_metrics(signals, closes, trades, params, policy_table(bars, policies), stage_id)))
 
 
 def window_results(scored: DataFrame) -> DataFrame:
@@ -115,9 +114,33 @@ def stage_scores(scored: DataFrame) -> DataFrame:
     return G.finalize(norm, ["policy_id", "symbol"], S.stage_spec(scored.sparkSession))
 
 
+def stage_qa(scored: DataFrame) -> DataFrame:
+    """QA summary of a batch by stage: pass rate, failures per category and status, from the best sample of every policy and symbol."""
+    best = scored.groupBy("stage_id", "policy_id", "symbol").agg(F.min_by(F.struct("passed", "reason"), F.struct(-F.col("score"), F.col("window_id"), F.col("sample_id"))).alias("b"))
+    taxonomy = scored.sparkSession.createDataFrame([(code, cat) for cat, codes in S.TAXONOMY.items() for code in codes], "code string, category string")
+    return qa_report(best.select("stage_id", F.col("b.passed").alias("gate_pass"), F.col("b.reason").alias("reason")), taxonomy, "stage_id")
+
+
+#: An experiment whose worst return (per cent) is lower, or whose probability of overfitting is higher, is rejected.
+WORST_RETURN, MOST_OVERFIT = -2.0, 0.4
+
+
+def overfitting(scored: DataFrame) -> DataFrame:
+    """pbo: of the mean returns of all policies and symbols by window; windows are the folds, of which there are a handful, and a lone one gives null."""
+    windows = [r["window_id"] for r in scored.select("window_id").distinct().orderBy("window_id").collect()]
+    if len(windows) < 2:
+        return scored.sparkSession.createDataFrame([(None,)], "pbo double")
+    fold = F.array_position(F.array(*[F.lit(w) for w in windows]), F.col("window_id")) - 1
+    by = scored.groupBy(F.concat_ws("|", "policy_id", "symbol").alias("policy_id"), fold.cast("int").alias("fold")).agg(F.avg("total_return_pct").alias("score"))
+    whole = by.groupBy("policy_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(windows)).select("policy_id")
+    return pbo(by.join(whole, "policy_id"), len(windows)).select("pbo")
+
+
 def experiment(scored: DataFrame) -> DataFrame:
-    """Record of an experiment: status and reasons from the spread of its samples."""
+    """Record of an experiment: the spread of its samples, and why it is rejected (the hard gate of its best sample, its worst return, overfitting)."""
+    best = F.min_by(F.struct("passed", "reason"), F.struct(-F.col("score"), F.col("window_id"), F.col("sample_id")))
     a = scored.groupBy("policy_id", "symbol").agg(F.avg("total_return_pct").alias("cpcv_mean"), F.min("total_return_pct").alias("cpcv_worst"), F.coalesce(F.stddev_samp("total_return_pct"), F.lit(0.0)).alias("cpcv_std"),
-                                                  F.avg(F.col("passed").cast("double")).alias("pass_rate"))
-    why = F.array_compact(F.array(F.when(F.col("cpcv_worst") < 0, "CPCV_WORST"), F.when(F.col("pass_rate") < 0.5, "GATE")))
-    return a.withColumns({"approved": F.size(why) == 0, "reason_codes": F.concat_ws(",", why)})
+                                                  F.avg(F.col("passed").cast("double")).alias("pass_rate"), best.alias("_b"))
+    a = a.join(F.broadcast(overfitting(scored)))  # a single row
+    why = F.array_compact(F.array(F.when(~F.col("_b.passed"), F.col("_b.reason")), F.when(F.col("cpcv_worst") < WORST_RETURN, "CPCV_WORST_TOO_LOW"), F.when(F.col("pbo") > MOST_OVERFIT, "PBO_TOO_HIGH")))
+    return a.withColumns({"approved": F.size(why) == 0, "reason_codes": F.concat_ws(",", why)}).drop("_b")

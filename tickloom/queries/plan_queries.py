@@ -42,10 +42,15 @@ def stage(spark, sf):
     return E.stage_scores(scored(spark, sf)).withColumn("score", rnd("score", 4))
 
 
+@query("pipe.stage_qa")
+def stage_qa(spark, sf):
+    return E.stage_qa(scored(spark, sf)).withColumn("pass_rate", rnd("pass_rate"))
+
+
 @query("pipe.experiment")
 def experiment(spark, sf):
-    s = scored(spark, sf, lambda b: W.contiguous(W.lengths(b), 1, "ALL"))
-    return E.experiment(s).withColumns({c: rnd(c, 3) for c in ("cpcv_mean", "cpcv_worst", "cpcv_std", "pass_rate")})
+    s = scored(spark, sf, lambda b: W.contiguous(W.lengths(b), 4, "ALL"))
+    return E.experiment(s).withColumns({c: rnd(c, 3) for c in ("cpcv_mean", "cpcv_worst", "cpcv_std", "pass_rate", "pbo")})
 
 
 @query("pipe.scenarios")
