@@ -30,6 +30,7 @@ RANK, NEIGHBOURS, POWER = 48, 15, 8
 WORD_BINS, SHAPE_BINS = 1024, 2048
 BINS = WORD_BINS + SHAPE_BINS + 4
 BLOCK_BYTES = 1 << 20
+VOTERS = 32
 
 
 def byte_classes() -> np.ndarray:
@@ -106,14 +107,16 @@ class Model:
         y = self.place(features(texts).astype(np.float64))
         if not len(self.digests):
             return np.full(len(texts), self.prior)
-        near = np.maximum(np.round(y @ self.vectors.T, 9), 0)  # products of different blocks differ in the last bits
-        near[np.array([digest(t) for t in texts])[:, None] == self.digests] = 0
-        k = min(NEIGHBOURS, near.shape[1])
-        least = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
-        near[near < least[:, None]] = 0
-        weight = near**POWER
-        total = weight.sum(1)
-        return np.clip(np.where(total > 1e-9, weight @ self.labels / np.maximum(total, 1e-300), self.prior), 0, 1).round(12)
+        digests, k, out = np.array([digest(t) for t in texts]), min(NEIGHBOURS, len(self.digests)), []
+        for first in range(0, len(texts), VOTERS):
+            near = y[first : first + VOTERS] @ self.vectors.T
+            np.maximum(np.round(near, 9, out=near), 0, out=near)  # products of different blocks differ in the last bits
+            near[digests[first : first + VOTERS, None] == self.digests] = 0
+            near[near < np.partition(near, near.shape[1] - k, axis=1)[:, -k, None]] = 0
+            weight = np.power(near, POWER, out=near)
+            total = weight.sum(1)
+            out.append(np.where(total > 1e-9, weight @ self.labels / np.maximum(total, 1e-300), self.prior))
+        return np.clip(np.concatenate(out), 0, 1).round(12)
 
 
 def groups(texts: list[str]) -> list[slice]:
