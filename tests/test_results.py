@@ -72,3 +72,12 @@ def test_streaming_bars(spark, tmp_path):
     q.stop()
     got = spark.table("bars_out").collect()
     assert len(got) == 1 and (got[0].open, got[0].high, got[0].close, got[0].volume) == (1.0, 3.0, 3.0, 2.0)
+
+
+def test_generations_number_experiments_by_time(spark):
+    from tickloom.operators import ledger as L
+    rows = [(f"e{i * 7 % 50:02d}", i % 4) for i in range(50)]
+    got = L.generations(spark.createDataFrame(rows, "exp_id string, ts int").repartition(5)).collect()
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert sorted((r.generation, r.exp_id) for r in got) == [(k, e) for k, (e, _) in enumerate(order, 1)]
+    assert L.generations(spark.createDataFrame([], "exp_id string, ts int")).count() == 0

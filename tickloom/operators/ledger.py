@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.gates import api_status
 from tickloom.operators.relay import BLOCK, relay
+from tickloom.session import materialize
 
 RECORD = ("exp_id string, timestamp double, stage int, regime string, template_id string, eval_score double, genome map<string,map<string,double>>, "
           "reason_codes array<string>, metrics map<string,double>")
@@ -51,12 +52,21 @@ def genome_text(genome: Column) -> Column:
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Flat experiment list with status, reason, Sharpe fallback and generation number by time."""
+    """Flat experiment list with status, reason and Sharpe fallback."""
     why = api_status()
     ratio = F.try_divide("total_return_pct", F.when(F.col("vol_pct") > 1e-9, F.col("vol_pct")))
     return df.withColumns({"reason": why, "status": F.when(why == "", "Approved").otherwise("Rejected"), "sharpe_shown": F.coalesce("sharpe", ratio, F.lit(0.0))})
 
 
+def generations(df: DataFrame, time: str = "ts") -> DataFrame:
+    """Number of every experiment by (time, exp_id), from 1: rows are dealt by range of that order, and a number is the place in a range plus the rows of those before."""
+    dealt = materialize(df.repartitionByRange(time, "exp_id").withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(time, "exp_id"))
+    return dealt.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn("generation", (F.col("_before") + place).cast("bigint")).drop("_range", "_before")
+
+
 def leaderboard(df: DataFrame, k: int = 3) -> DataFrame:
     """Top k approved per regime by return: each block of rows keeps its k best before regimes are ranked."""
     ok = df.filter("status = 'Approved'").withColumn("_b", F.pmod(F.xxhash64("exp_id"), F.lit(256)))

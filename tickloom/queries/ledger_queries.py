@@ -35,8 +35,8 @@ REC_SQL = f"""rec AS MATERIALIZED (SELECT 'E' || lpad(o_orderkey::VARCHAR, 9, '0
 flat AS MATERIALIZED (SELECT *, CASE WHEN trade_count < 15 THEN 'MIN_TRADES' WHEN max_drawdown_pct > 50 THEN 'MAX_MDD' WHEN win_rate > 0.85 THEN 'WINRATE_HIGH' WHEN trade_count >= 30 AND win_rate < 0.3 THEN 'WINRATE_LOW' WHEN trade_count >= 20 AND reward_risk < 0.5 THEN 'RR_LOW' ELSE '' END AS reason,
   coalesce(sharpe, total_return_pct / CASE WHEN vol_pct > 1e-9 THEN vol_pct END, 0) AS sh FROM rec), app AS MATERIALIZED (SELECT *, 3 * total_return_pct + 50 * win_rate + 0.1 * trade_count AS sc FROM flat WHERE reason = '')"""
 flat = lambda spark, sf: L.flat(records(spark, sf))
-register("led.flat", lambda spark, sf: flat(spark, sf).select("exp_id", "status", "reason", rnd("sharpe_shown").alias("sharpe"), rnd("total_return_pct").alias("total_return_pct")),
-         f"WITH {REC_SQL} SELECT exp_id, CASE WHEN reason = '' THEN 'Approved' ELSE 'Rejected' END AS status, reason, {r6('sh')} AS sharpe, {r6('total_return_pct')} AS total_return_pct FROM flat")
+register("led.flat", lambda spark, sf: L.generations(flat(spark, sf)).select("exp_id", "generation", "status", "reason", rnd("sharpe_shown").alias("sharpe"), rnd("total_return_pct").alias("total_return_pct")),
+         f"WITH {REC_SQL} SELECT exp_id, row_number() OVER (ORDER BY ts, exp_id) AS generation, CASE WHEN reason = '' THEN 'Approved' ELSE 'Rejected' END AS status, reason, {r6('sh')} AS sharpe, {r6('total_return_pct')} AS total_return_pct FROM flat")
 register("led.leaderboard", lambda spark, sf: L.leaderboard(flat(spark, sf)).select("regime", big("rank"), "exp_id"), f"WITH {REC_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY total_return_pct DESC, exp_id) AS rk FROM app) SELECT regime, rk::BIGINT AS rank, exp_id FROM r WHERE rk <= 3")
 register("led.rejections", lambda spark, sf: L.rejections(records(spark, sf)), f"WITH {REC_SQL} SELECT reason_codes[1] AS code, count(*)::BIGINT AS n FROM rec WHERE len(reason_codes) > 0 GROUP BY 1")
 register("led.kpis", lambda spark, sf: L.kpis(flat(spark, sf)).select("experiments", *[rnd(c).alias(c) for c in ("approval_rate", "best_sharpe", "best_win_rate", "best_return")]),
@@ -113,10 +113,12 @@ def src_ledger_file(spark, sf):
     """The same lines through a file of JSON lines in the shared folder."""
     import uuid
 
-    from tickloom.session import shared_folder
+    from tickloom.session import materialize, remove, shared_folder
     path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     ledger_lines(spark, sf).write.text(path)
-    return L.read_ledger(spark, path).select("exp_id", "regime", rnd("eval_score").alias("eval_score"), F.size("reason_codes").cast("bigint").alias("n_reasons"))
+    out = materialize(L.read_ledger(spark, path).select("exp_id", "regime", rnd("eval_score").alias("eval_score"), F.size("reason_codes").cast("bigint").alias("n_reasons")))
+    remove(spark, path)
+    return out
 
 
 @query("src.ledger", LEDGER_SQL)
@@ -133,11 +135,13 @@ def snk_ledger(spark, sf):
     """Append to a partitioned parquet ledger below the checkpoint folder and read it back."""
     import uuid
 
-    from tickloom.session import shared_folder
+    from tickloom.session import materialize, remove, shared_folder
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     r = records(spark, sf).select("exp_id", "regime", "eval_score", (F.length("regime") % 4).alias("stage"))
     L.append(r, path)
-    return spark.read.parquet(path).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+    out = materialize(spark.read.parquet(path).groupBy("regime").agg(F.count(F.lit(1)).alias("n")))
+    remove(spark, path)
+    return out
 
 
 @query("prep.policy_id", """WITH p AS (SELECT p_partkey AS k, p_brand AS rules, p_size AS s FROM part) SELECT k AS part, 'pol_' || substr(sha256('{"genome":{"A_V1":{"length":' || printf('%.8f', (s / 3.0)::DOUBLE) || ',"window":' || printf('%.8f', s::DOUBLE) || '},"B_V1":{"fast":' || printf('%.8f', (k % 7)::DOUBLE) || '}},"risk_budget":{"k_down":' || printf('%.8f', 0.5::DOUBLE) || ',"k_up":' || printf('%.8f', (s / 10.0)::DOUBLE) || '},"rules":"' || rules || '"}'), 1, 16) AS policy_id FROM p""")
