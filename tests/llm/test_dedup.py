@@ -104,8 +104,8 @@ def test_components_of_a_long_chain_and_a_star(spark):
 # --- lines ---------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, run):
-    """rows in order of (doc_id, anything): texts without the lines of runs that begin earlier too."""
+def brute_lines(rows, run, words=24):
+    """rows in order of (doc_id, anything): texts without the lines of runs that begin earlier too, a line of so many words being a run."""
     seen, out = set(), []
     for t in rows:
         lines = (t or "").split("\n")
@@ -117,6 +117,11 @@ def brute_lines(rows, run):
             if key in seen:
                 gone.update(at[k : k + run])
             seen.add(key)
+        for i, line in zip(at, body, strict=True):
+            if len(words_of(line)) >= words:
+                if (line,) in seen:
+                    gone.add(i)
+                seen.add((line,))
         out.append(None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
@@ -138,6 +143,18 @@ def test_line_dedup_brute_force(spark, run):
     assert {c for c in df.columns} <= set(out[0].asDict()) and all(x.key == "x" for x in out)
 
 
+def test_line_dedup_of_single_long_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(24)), " ".join(f"w{i}" for i in range(23))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\t\nd\n{short}"), (3, long), (4, f"e\n{short}\nf"), (5, f"{long}\ng\n{long}"), (6, "h\n" + long.replace(" ", "\u00a0"))]
+    rows += [(7, "h\n" + long.replace(" ", "\u00a0") + "\ni"), (8, "\x0b".join(long.split())), (9, "j\n" + "\x0b".join(long.split()))]
+    out = linededup.dedup_lines(awkward(spark, rows)).collect()
+    got = {x.doc_id: x.text for x in out}
+    assert [got[i] for i, _ in rows] == brute_lines([t for _, t in rows], 2)
+    assert got[1] == rows[0][1] and got[2] == f"c\nd\n{short}" and got[3] == "" and got[4] == rows[3][1] and got[5] == "g" and got[9] == "j"
+    few = {x.doc_id: x.text for x in linededup.dedup_lines(awkward(spark, rows), words=23).collect()}
+    assert few[4] == "e\nf" and [few[i] for i, _ in rows] == brute_lines([t for _, t in rows], 2, 23)
+
+
 def test_line_dedup_repeated_rows_and_empty_table(spark):
     out = linededup.dedup_lines(awkward(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb")])).collect()
     assert sorted((x.doc_id, x.text) for x in out) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x")]

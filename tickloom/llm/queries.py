@@ -38,7 +38,8 @@ p AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS body FROM l),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS place FROM p WHERE body <> ''),
 w AS (SELECT *, lead(body) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM n),
 later AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY body, following ORDER BY doc_id, place) AS r FROM w WHERE following IS NOT NULL) WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, place + d AS place FROM later, (VALUES (0), (1)) AS x(d)),
+alone AS (SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) AS r FROM n WHERE len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) >= 24) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, place + d AS place FROM later, (VALUES (0), (1)) AS x(d) UNION SELECT doc_id, place FROM alone),
 marked AS (SELECT p.doc_id, p.no, p.line, n.place IS NOT NULL AS full_line, gone.place IS NOT NULL AS cut FROM p LEFT JOIN n USING (doc_id, no) LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.place = n.place)
 SELECT d.doc_id, count(*) FILTER (WHERE full_line) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed,
   CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT cut), '') END AS text
@@ -47,7 +48,7 @@ FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 @query("op2_line_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), run=2)
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"), run=2, words=24)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
 
 
