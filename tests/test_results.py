@@ -81,3 +81,16 @@ def test_generations_number_experiments_by_time(spark):
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     assert sorted((r.generation, r.exp_id) for r in got) == [(k, e) for k, (e, _) in enumerate(order, 1)]
     assert L.generations(spark.createDataFrame([], "exp_id string, ts int")).count() == 0
+
+
+def test_budgets_lie_inside_their_profile(spark):
+    from tickloom.operators import windows as W
+    rows = W.profile_budgets(spark.range(500).withColumnRenamed("id", "customer"), ["customer"]).collect()
+    assert len(rows) == 1500 and len({r.customer for r in rows}) == 500
+    for r in rows:
+        assert r.k_up_min <= r.k_up <= r.k_up_max and r.k_down_min <= r.k_down <= r.k_down_max and r.h_min <= r.horizon <= r.h_max
+    for name, *_ in W.PROFILES:
+        own = [r for r in rows if r.profile_id == name]
+        assert {r.horizon for r in own} == set(range(own[0].h_min, own[0].h_max + 1)) and len({r.k_up for r in own}) > 490
+    again = W.profile_budgets(spark.range(499, -1, -1).withColumnRenamed("id", "customer"), ["customer"]).collect()
+    assert sorted(again) == sorted(rows)

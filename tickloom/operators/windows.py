@@ -137,3 +137,11 @@ def with_profiles(df: DataFrame) -> DataFrame:
         rows.append(F.struct(F.lit(name).alias("profile_id"), F.lit(a).alias("k_up_min"), F.lit(b).alias("k_up_max"), F.lit(c).alias("k_down_min"),
                              F.lit(e).alias("k_down_max"), F.lit(round(g)).cast("bigint").alias("h_min"), F.lit(round(i)).cast("bigint").alias("h_max")))
     return df.withColumn("_p", F.explode(F.array(*rows))).select(*df.columns, "_p.*")
+
+
+def profile_budgets(df: DataFrame, key: list[str]) -> DataFrame:
+    """with_profiles() and, for every row and profile, a budget drawn inside the profile's ranges; key identifies a row."""
+    u = lambda what: uniform(*[F.col(k).cast("string") for k in key], F.col("profile_id"), F.lit(what))
+    draw = lambda c: F.col(f"{c}_min") + u(c) * (F.col(f"{c}_max") - F.col(f"{c}_min"))
+    horizon = F.col("h_min") + F.floor(u("h") * (F.col("h_max") - F.col("h_min") + 1))
+    return with_profiles(df).withColumns({"k_up": draw("k_up"), "k_down": draw("k_down"), "horizon": horizon.cast("bigint")})

@@ -289,10 +289,12 @@ def budget_jitter(spark, sf):
 
 
 @query("smp.profiles", f"""WITH p AS (SELECT * FROM (VALUES ('SHORT_TERM', 0.5, 1.725, 0.3, 1.07, 3, 11), ('BALANCED', 1.375, 2.95, 0.85, 1.84, 8, 19), ('LONG_TERM', 2.6, 4.0, 1.62, 2.5, 16, 30)) t(profile_id, a, b, c, d, e, f)),
-  x AS (SELECT p.*, c_mktsegment AS seg, count(*) AS n FROM customer, p GROUP BY ALL) SELECT seg AS segment, profile_id, {r6('a')} AS k_up_min, {r6('b')} AS k_up_max, {r6('c')} AS k_down_min, {r6('d')} AS k_down_max, e::BIGINT AS h_min, f::BIGINT AS h_max FROM x""")
+  x AS (SELECT p.*, c_custkey AS id, c_mktsegment AS seg FROM customer, p) SELECT id AS customer, seg AS segment, profile_id, {r6('a')} AS k_up_min, {r6('b')} AS k_up_max, {r6('c')} AS k_down_min, {r6('d')} AS k_down_max, e::BIGINT AS h_min, f::BIGINT AS h_max,
+    {r6(f"a + {U('id::VARCHAR', 'profile_id', repr('k_up'))} * (b - a)")} AS k_up, {r6(f"c + {U('id::VARCHAR', 'profile_id', repr('k_down'))} * (d - c)")} AS k_down, (e + floor({U('id::VARCHAR', 'profile_id', repr('h'))} * (f - e + 1)))::BIGINT AS horizon FROM x""")
 def profiles(spark, sf):
-    seg = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
-    return W.with_profiles(seg).select("segment", "profile_id", *[rnd(c).alias(c) for c in ("k_up_min", "k_up_max", "k_down_min", "k_down_max")], "h_min", "h_max")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment"))
+    out = W.profile_budgets(rows, ["customer"])
+    return out.select("customer", "segment", "profile_id", *[rnd(c).alias(c) for c in ("k_up_min", "k_up_max", "k_down_min", "k_down_max")], "h_min", "h_max", rnd("k_up").alias("k_up"), rnd("k_down").alias("k_down"), "horizon")
 
 
 # -- window aggregates -------------------------------------------------------------------------
