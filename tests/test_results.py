@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,39 @@ def test_similarity_collapses_copies(spark):
     assert got.avg_jaccard == pytest.approx((30 * 29 / 2 + 30 * 0.5) / pairs) and got.collision_rate == pytest.approx(30 * 29 / 2 / pairs)
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.8, 1.0])
+def test_similarity_join_equals_brute_force(spark, threshold):
+    rng = random.Random(7)
+    sets = {f"p{i:03d}": set(rng.sample([f"F{k}" for k in range(40)], rng.randint(1, 9))) | {"HOT"} for i in range(120)}
+    for i in range(40):  # copies, and copies with one feature more
+        sets[f"q{i:03d}"] = sets["p000"] | ({f"F{i}"} if i % 2 else set())
+    rows = [(p, f) for p, fs in sets.items() for f in fs]
+    genes = spark.createDataFrame([*rows, *rows[:50], ("null", None)], "policy_id string, feature string")
+    j = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = {(r.p1, r.p2): r.jaccard for r in SEL.similar_policies(genes, threshold).collect()}
+    assert got == pytest.approx({k: v for k, v in j.items() if v > threshold})
+    if threshold == 0.8:  # all sets share HOT: every pair of genomes has a feature in common
+        genomes, _ = SEL.genomes_of(genes)
+        n = genomes.count()
+        assert SEL.candidate_genomes(genomes, threshold).count() < n * (n - 1) / 2 / 20
+
+
+def test_diverse_filter_is_the_sequential_one(spark):
+    rng = random.Random(3)
+    sets = {f"p{i:03d}": frozenset(rng.sample("abcdefgh", rng.randint(0, 6))) for i in range(150)}
+    order = {p: (i * 37) % 50 for i, p in enumerate(sets)}  # ties of ord
+    bad = {p for i, p in enumerate(sets) if i % 11 == 0}
+    kept = []
+    for p in sorted(sets, key=lambda p: (order[p], p)):
+        if p not in bad and all(not sets[p] or len(sets[p] & sets[q]) / len(sets[p] | sets[q]) <= 0.5 for q in kept):
+            kept.append(p)
+    genes = spark.createDataFrame([(p, f) for p, fs in sets.items() for f in fs], "policy_id string, feature string")
+    cand = spark.createDataFrame(list(order.items()), "policy_id string, ord int")
+    compat = spark.createDataFrame([(p, -1.0 if p in bad else 0.0) for p in sets], "policy_id string, score double")
+    assert {r.policy_id for r in SEL.filter_diverse(cand, genes, compat, 0.5).collect()} == set(kept)
+    assert SEL.similar_policies(genes.limit(0), 0.5).count() == 0
+
+
 def test_ledger_lines_skip_broken(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"exp_id": "a", "eval_score": 1.5}\n{broken\n{"exp_id": "b"}\n')
     got = L.read_ledger(spark, str(tmp_path / "l.jsonl"))

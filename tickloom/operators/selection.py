@@ -31,6 +31,54 @@ def jaccard(genes: DataFrame, left: DataFrame | None = None, right: DataFrame |
     return j.select("p1", "p2", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
 
 
+def genomes_of(genes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct feature sets ``(genome, features)`` and which policy has which: ``(policy_id, genome)``.
+
+    Repeated rows of ``genes`` count once; a policy without features or a null feature has no genome.
+    """
+    sets = genes.filter("feature IS NOT NULL").groupBy("policy_id").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    sets = materialize(sets.withColumn("genome", F.sha2(F.to_json("features"), 256)))
+    return sets.groupBy("genome").agg(F.first("features").alias("features")), sets.select("policy_id", "genome")
+
+
+def candidate_genomes(genomes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(g1 < g2)`` of genomes that may have a Jaccard similarity above ``threshold``.
+
+    Features are ordered from rare to frequent. Two sets of n1 and n2 features above the threshold share at least
+    t / (1 + t) * (n1 + n2) of them, so they meet in the first n - ceil(t n) + 1 of either; only these are joined. Lengths
+    further apart than the threshold allows are left out, and so are meetings after which too few features remain.
+    """
+    eps = 1e-9
+    each = materialize(genomes.select("genome", F.size("features").alias("n"), F.explode("features").alias("feature")))
+    rarity = each.groupBy("feature").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(rarity, "feature").groupBy("genome", "n").agg(F.array_sort(F.collect_list(F.struct("f", "feature"))).alias("o"))
+    head = (F.col("n") - F.ceil(F.col("n") * threshold - eps) + 1).cast("int")
+    prefix = ranked.select("genome", "n", F.posexplode(F.slice("o", F.lit(1), F.least(head, F.col("n")))).alias("pos", "x"))
+    prefix = materialize(prefix.select("genome", "n", "pos", F.col("x.feature").alias("feature")))
+    a, b = prefix.toDF("g1", "n1", "pos1", "feature"), prefix.toDF("g2", "n2", "pos2", "feature")
+    j = a.join(b, "feature").filter("g1 < g2").filter((F.col("n2") >= F.col("n1") * threshold - eps) & (F.col("n1") >= F.col("n2") * threshold - eps))
+    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    return j.filter(most >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - eps).select("g1", "g2").distinct()
+
+
+def similar_genomes(genomes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(g1 < g2, jaccard)`` of distinct genomes above ``threshold``, compared on their full sets."""
+    s1, s2 = genomes.toDF("g1", "s1"), genomes.toDF("g2", "s2")
+    j = candidate_genomes(genomes, threshold).join(s1, "g1").join(s2, "g2")
+    shared = F.size(F.array_intersect("s1", "s2"))
+    return j.select("g1", "g2", (shared / (F.size("s1") + F.size("s2") - shared)).alias("jaccard")).filter(F.col("jaccard") > threshold)
+
+
+def similar_policies(genes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(p1 < p2, jaccard)`` of policies above ``threshold`` (0 to 1): pairs of genomes, then their policies."""
+    genomes, members = genomes_of(genes)
+    both = materialize(similar_genomes(genomes, threshold))
+    m1, m2 = members.toDF("p1", "g1"), members.toDF("p2", "g2")
+    cross = both.join(m1, "g1").join(m2, "g2").select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), "jaccard")
+    same = m1.join(m2, F.col("g1") == F.col("g2")).filter("p1 < p2").select("p1", "p2", F.lit(1.0).alias("jaccard"))
+    return cross.unionByName(same.filter(F.lit(threshold < 1)))
+
+
 def batch_similarity(genes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Mean Jaccard and collision rate over all unordered pairs of policies.
 
@@ -106,12 +154,22 @@ def filter_diverse(candidates: DataFrame, genes: DataFrame, compatibility: DataF
     """Sequential filter in ``ord``: keep a candidate unless it conflicts or is too similar to one kept before.
 
     Equivalent to the lexicographically first maximal independent set: a candidate is kept once all earlier
-    similar ones are dropped and dropped once an earlier similar one is kept, so each round settles many.
+    similar ones are dropped and dropped once an earlier similar one is kept, so each round settles many.  Of
+    candidates with one genome only the first can be kept (what drops it drops the others), so genomes are
+    compared, not candidates.  Candidates without features are similar to nothing; ties of ``ord`` go by policy_id.
     """
     ok = candidates.join(compatibility.filter(F.col("score") < floor), "policy_id", "left_anti").select("policy_id", "ord")
-    edges = jaccard(genes, ok, ok).filter(F.col("jaccard") > jaccard_max)
-    o1, o2 = ok.toDF("p1", "o1"), ok.toDF("p2", "o2")
-    earlier = materialize(edges.join(o1, "p1").join(o2, "p2").filter(F.col("o2") < F.col("o1")).select("p1", "p2"))
+    if jaccard_max >= 1:
+        return ok
+    genomes, members = genomes_of(genes)
+    placed = materialize(ok.join(members, "policy_id", "left"))
+    first = placed.filter("genome IS NOT NULL").groupBy("genome").agg(F.min(F.struct("ord", "policy_id")).alias("f")).select("genome", "f.ord", "f.policy_id")
+    free, ok = placed.filter("genome IS NULL").select("policy_id", "ord"), materialize(first)
+    edges = similar_genomes(genomes.join(ok, "genome", "left_semi"), jaccard_max)
+    o1, o2 = (ok.select(F.col("genome").alias(f"g{k}"), F.struct("ord", "policy_id").alias(f"o{k}")) for k in (1, 2))
+    linked = edges.join(o1, "g1").join(o2, "g2")
+    earlier = materialize(linked.select(F.greatest("o1", "o2")["policy_id"].alias("p1"), F.least("o1", "o2")["policy_id"].alias("p2")))
+    ok = ok.select("policy_id", "ord")
     state = materialize(ok.withColumn("s", F.lit(0)))  # 0 open, 1 kept, -1 dropped
     while True:  # the earliest open candidate settles in every round, so this ends
         seen = earlier.join(state.select(F.col("policy_id").alias("p2"), F.col("s").alias("s2")), "p2").groupBy("p1").agg(F.max("s2").alias("hi"), F.min("s2").alias("lo"), F.count_if(F.col("s2") == 0).alias("open"))
@@ -120,7 +178,7 @@ def filter_diverse(candidates: DataFrame, genes: DataFrame, compatibility: DataF
         state = materialize(nxt)
         if state.filter("s = 0").limit(1).count() == 0:
             break
-    return state.filter("s = 1").select("policy_id", "ord")
+    return state.filter("s = 1").select("policy_id", "ord").unionByName(free)
 
 
 def combination_scores(genes: DataFrame, relations: DataFrame) -> DataFrame:
