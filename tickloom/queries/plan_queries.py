@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import settings as S
 from tickloom.functions.num import rnd
 from tickloom.operators import backtest as BT
-
+from tickloom.operators import calibration as CAL
 from tickloom.operators import labels as L
 from tickloom.operators import models as ML
+from tickloom.operators import rules as R
 from tickloom.operators import selection as SEL
 from tickloom.operators import windows as W
 from tickloom.operators.context import regime_series
 from tickloom.operators.features import compute_genome
 from tickloom.plans import evaluate as E
 from tickloom.queries import demo as D
-from tickloom.queries.base import ORACLE, bars_d, query
+from tickloom.queries.base import bars_d, query
+from tickloom.queries.feature_queries import rsi_layers
 from tickloom.queries.report_queries import EVENTS_SQL, voled
-from tickloom.queries.sqlkit import r6
-from tickloom.queries.trading_queries import compare_inputs
+from tickloom.queries.sqlkit import BARS_D, Rec, chain, r6
+from tickloom.queries.trading_queries import CROSS, sma_cross
 from tickloom.session import materialize
 
 
@@ -63,10 +68,59 @@ def scenarios(spark, sf):
     return res.join(label, ["symbol", "window_id"]).select("policy_id", "symbol", "window_id", "regime_label", rnd("score", 3).alias("score"), rnd("avg_alpha", 3).alias("avg_alpha"))
 
 
-@query("pipe.calibration", ORACLE["bt.compare_trades"])
+_sql = lambda v: "NULL" if v is None else repr(v)
+_over = ", ".join("(" + ", ".join(_sql(v) for v in r) + ")" for r in CAL.OVERLAYS)
+_cals, _call = chain(BARS_D, *CROSS, *rsi_layers(14), tag="c")
+_in = "(r.pos = 0 AND r.pin = 1)"
+_p0 = f"(CASE WHEN {_in} THEN 1 ELSE r.pos END)"
+_e0 = f"(CASE WHEN {_in} THEN x.open + x.slip ELSE r.ep END)"
+_sigx = f"({_p0} = 1 AND r.pout = 1)"
+_held = f"(CASE WHEN {_in} THEN 0 ELSE r.held END + 1)"
+_live = f"({_p0} = 1 AND NOT {_sigx})"
+_up, _dn = f"coalesce(x.high >= {_e0} * (1 + x.tp), false)", f"coalesce(x.low <= {_e0} * (1 - x.sl), false)"
+_sl = f"({_live} AND {_dn} AND (x.priority = 'stop_first' OR NOT {_up}))"
+_tp = f"({_live} AND {_up} AND NOT {_sl})"
+_tm = f"({_live} AND NOT {_sl} AND NOT {_tp} AND coalesce({_held} >= x.hold, false))"
+_rest = f"({_live} AND NOT {_sl} AND NOT {_tp} AND NOT {_tm})"
+_cx = f"({_rest} AND x.exit AND x.on_close)"
+_open = f"({_rest} AND NOT {_cx})"
+_new = f"({_p0} = 0 AND x.entry AND x.on_close)"
+CAL_REC = Rec({
+    "pos": ("CASE WHEN entry AND on_close THEN 1 ELSE 0 END", f"CASE WHEN {_open} OR {_new} THEN 1 ELSE 0 END"), "en": ("0", f"CASE WHEN {_in} OR {_new} THEN x.bar_idx ELSE r.en END"),
+    "ep": ("close + slip", f"CASE WHEN {_new} THEN x.close + x.slip ELSE {_e0} END"), "held": ("0", f"CASE WHEN {_new} THEN 0 ELSE {_held} END"),
+    "pin": ("CASE WHEN entry AND NOT on_close THEN 1 ELSE 0 END", f"CASE WHEN {_p0} = 0 AND x.entry AND NOT x.on_close AND x.bar_idx < x.last THEN 1 ELSE 0 END"),
+    "pout": ("0", f"CASE WHEN {_open} AND x.exit AND NOT x.on_close AND x.bar_idx < x.last THEN 1 ELSE 0 END"),
+    "code": ("0", f"CASE WHEN {_sigx} OR {_cx} THEN 1 WHEN {_sl} THEN 2 WHEN {_tp} THEN 3 WHEN {_tm} THEN 4 ELSE 0 END"),
+    "px": ("0", f"CASE WHEN {_sigx} THEN x.open WHEN {_sl} THEN {_e0} * (1 - x.sl) WHEN {_tp} THEN {_e0} * (1 + x.tp) ELSE x.close END")})
+CAL_RUN, CAL_LAST = chain(f"""{_cals}, ov(scenario, overlay, timing, priority, comm, ticks, tp, sl, hold) AS (VALUES {_over}),
+calb AS MATERIALIZED (SELECT scenario || '|' || overlay || '|' || symbol AS symbol, bar_idx, open, high, low, close, max(bar_idx) OVER (PARTITION BY symbol) AS last, scenario, timing = 'close' AS on_close, priority, comm / 100 AS comm,
+  ticks * {CAL.TICK} AS slip, tp, sl, hold, CASE scenario WHEN 'timing' THEN entry WHEN 'cost' THEN coalesce(rsi < 30, false) ELSE true END AS entry,
+  CASE scenario WHEN 'timing' THEN exit WHEN 'cost' THEN coalesce(rsi > 70, false) ELSE false END AS exit FROM {_call} CROSS JOIN ov)""", CAL_REC, source="calb", tag="k")
+CAL_SQL = f"""{CAL_RUN}, kx AS (SELECT symbol, scenario, on_close, priority, comm, slip, en, bar_idx AS xi, ep, px - slip AS xp, CASE code WHEN 1 THEN 'signal' WHEN 2 THEN 'sl' WHEN 3 THEN 'tp' ELSE 'time' END AS reason FROM {CAL_LAST} WHERE code > 0
+  UNION ALL SELECT symbol, scenario, on_close, priority, comm, slip, en, bar_idx, ep, close - slip, 'eod' FROM {CAL_LAST} WHERE pos = 1 AND bar_idx = last),
+kn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY en, xi) - 1 AS k, 1 + ((xp - ep) - (ep + xp) * comm) / ep AS m FROM kx),
+ke AS (SELECT *, product(m) OVER (PARTITION BY symbol ORDER BY k) AS eq FROM kn), kq AS MATERIALIZED (SELECT *, eq / m / ep AS qty FROM ke),
+kc AS (SELECT q.*, CASE WHEN q.scenario = 'timing' AND NOT coalesce(CASE WHEN q.on_close THEN a.entry ELSE b.entry END, false) THEN 'ENTRY_BAR_MISMATCH'
+    WHEN q.scenario = 'timing' AND abs(q.ep - CASE WHEN q.on_close THEN a.close ELSE a.open END) > {CAL.TOLERANCE} * a.close THEN 'ENTRY_PRICE_MISMATCH'
+    WHEN q.scenario = 'collision' AND k = 0 AND reason <> CASE q.priority WHEN 'target_first' THEN 'tp' ELSE 'sl' END THEN 'EXIT_REASON_MISMATCH' END AS bad
+  FROM kq q LEFT JOIN calb a ON a.symbol = q.symbol AND a.bar_idx = q.en LEFT JOIN calb b ON b.symbol = q.symbol AND b.bar_idx = q.en - 1),
+ks AS (SELECT symbol, count(*) AS n, arg_max(eq, k) AS eq, sum(qty * (ep + xp) * comm) AS fees, sum(qty * 2 * slip) AS slips, min(k) FILTER (bad IS NOT NULL) AS trade_no, arg_min(bad, k) FILTER (bad IS NOT NULL) AS bad FROM kc GROUP BY 1)
+SELECT scenario, split_part(g.symbol, '|', 2) AS overlay, split_part(g.symbol, '|', 3) AS symbol, coalesce(n, 0)::BIGINT AS trade_count, {r6('ln(coalesce(eq, 1))')} AS log_equity, {r6('ln(1 + coalesce(fees, 0))')} AS fees_slog,
+  {r6('ln(1 + coalesce(slips, 0))')} AS slippage_slog, CASE WHEN n IS NULL AND scenario <> 'cost' THEN 'TRADE_COUNT_MISMATCH' ELSE coalesce(bad, 'MATCH') END AS mismatch, trade_no::BIGINT AS trade_no
+FROM (SELECT DISTINCT symbol, scenario FROM calb) g LEFT JOIN ks ON ks.symbol = g.symbol"""
+
+
+@query("pipe.calibration", CAL_SQL)
 def calibration(spark, sf):
-    """Signals, intrabar engine, account equity and the comparison report in one go."""
-    return BT.compare_trades(*compare_inputs(spark, sf), ["symbol"]).select("symbol", "n_ref", "n_got", "mismatch", F.col("trade_no").cast("bigint").alias("trade_no"))
+    """Five execution scenarios on all symbols: crossings without costs, reversions with costs, an entry on every bar with target and stop."""
+    bars = materialize(bars_d(spark, sf))
+    ohlc = ["symbol", "bar_idx", "open", "high", "low", "close"]
+    rsi = R.evaluate_rules(compute_genome(bars, {"MOMENTUM_RSI_V1": {}}), {"entry": "MOMENTUM_RSI_V1 < 30", "exit": "MOMENTUM_RSI_V1 > 70"}).select("symbol", "bar_idx", "entry", "exit")
+    parts = {"timing": sma_cross(bars), "cost": bars.join(rsi, ["symbol", "bar_idx"]), "collision": bars.withColumns({"entry": F.lit(True), "exit": F.lit(False)})}
+    signals = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("policy_id"), *ohlc, "entry", "exit") for k, df in parts.items()])
+    out = CAL.calibrate(signals, CAL.overlays(spark))
+    return out.select("scenario", "overlay", "symbol", F.col("trade_count").cast("bigint").alias("trade_count"), rnd(F.log("final_equity")).alias("log_equity"), rnd(F.log1p("total_fees")).alias("fees_slog"),
+                      rnd(F.log1p("total_slippage")).alias("slippage_slog"), "mismatch", F.col("trade_no").cast("bigint").alias("trade_no"))
 
 
 @query("sel.two_stage")
