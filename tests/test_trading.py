@@ -4,6 +4,7 @@ import pytest
 from helpers import frame, make_bars, random_walk
 from pyspark.sql import functions as F
 
+from tickloom.operators import calibration as CAL
 from tickloom.operators import backtest as BT
 from tickloom.operators import gates as G
 from tickloom.operators.engines import close_engine, intrabar_engine, state_gate
@@ -182,3 +183,39 @@ def test_no_trades_statistics(spark):
     total = spark.createDataFrame([("S", 10)], "symbol string, bars_total bigint")
     row = trade_stats(t, total, ["symbol"]).first()
     assert row.trade_count == 0 and row.profit_factor == 1.0 and row.win_rate == 0.0
+
+
+def test_calibration_scenarios(spark):
+    rows = []
+    for sym, high, low in (("BOTH", 101.5, 98.5), ("UP", 101.5, 99.9), ("CALM", 100.1, 99.9)):
+        for i in range(20):
+            for s in ("timing", "cost", "collision"):
+                entry = {"timing": i % 6 == 2, "cost": i % 6 == 2, "collision": sym != "CALM"}[s]
+                rows.append((s, sym, i, 100.0 + i % 3 / 100, high, low, 100.0, entry, s != "collision" and i % 6 == 4))
+    sig = spark.createDataFrame(rows, "policy_id string, symbol string, bar_idx long, open double, high double, low double, close double, entry boolean, exit boolean")
+    got = {(r.scenario, r.overlay, r.symbol): r for r in CAL.calibrate(sig, CAL.overlays(spark)).collect()}
+    assert len(got) == 15
+    seen = {k: r.mismatch for k, r in got.items()}
+    assert seen["collision", "stop_first", "BOTH"] == seen["collision", "target_first", "BOTH"] == "MATCH"
+    assert seen["collision", "stop_first", "UP"] == "EXIT_REASON_MISMATCH" and got["collision", "stop_first", "UP"].trade_no == 0
+    assert seen["collision", "target_first", "UP"] == "MATCH"
+    assert seen["collision", "stop_first", "CALM"] == "TRADE_COUNT_MISMATCH" and got["collision", "stop_first", "CALM"].trade_count == 0
+    assert all(m == "MATCH" for (s, _, _), m in seen.items() if s != "collision")
+    cost = got["cost", "next_open", "BOTH"]
+    equity, fees, slips = 1.0, 0.0, 0.0
+    for i in (3, 9, 15):  # signalled at 2, 8, 14, filled at the next open; left at the open after 4, 10, 16
+        bought, sold = 100.0 + i % 3 / 100 + 0.01, 100.0 + (i + 2) % 3 / 100 - 0.01
+        qty = equity / bought
+        fee = qty * (bought + sold) * 0.001
+        equity, fees, slips = equity + qty * (sold - bought) - fee, fees + fee, slips + qty * 0.02
+    assert (cost.trade_count, cost.final_equity, cost.total_fees, cost.total_slippage) == (3, pytest.approx(equity), pytest.approx(fees), pytest.approx(slips))
+
+
+def test_calibration_finds_a_fill_off_its_signal(spark):
+    rows = [("timing", "X", i, 100.0, 101.0, 99.0, 102.0, i == 5, i == 8) for i in range(12)]
+    sig = spark.createDataFrame(rows, "policy_id string, symbol string, bar_idx long, open double, high double, low double, close double, entry boolean, exit boolean")
+    slipped = CAL.overlays(spark, [("timing", "slipped", "next_open", "stop_first", 0.0, 50.0, None, None, None)])
+    r = CAL.calibrate(sig, slipped).first()
+    assert (r.mismatch, r.trade_no, r.trade_count) == ("ENTRY_PRICE_MISMATCH", 0, 1)
+    none = CAL.calibrate(sig.withColumn("entry", F.lit(False)), CAL.overlays(spark)).collect()
+    assert {r.mismatch for r in none} == {"TRADE_COUNT_MISMATCH"}
