@@ -1,10 +1,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions import settings as S
 from tickloom.operators import documents as D
+from tickloom.operators import gates as G
 from tickloom.operators import ledger as L
 from tickloom.operators import reports as R
 from tickloom.operators import selection as SEL
@@ -128,3 +131,14 @@ def test_budgets_lie_inside_their_profile(spark):
         assert {r.horizon for r in own} == set(range(own[0].h_min, own[0].h_max + 1)) and len({r.k_up for r in own}) > 490
     again = W.profile_budgets(spark.range(499, -1, -1).withColumnRenamed("id", "customer"), ["customer"]).collect()
     assert sorted(again) == sorted(rows)
+
+
+def test_scores_of_a_hot_group(spark):
+    rng = random.Random(5)
+    rows = [("hot", rng.gauss(0, 1), i % 7 == 0) for i in range(3000)] + [("ties", 1.0, False)] * 50 + [("few", 3.0, True), ("few", None, False), ("none", None, False)]
+    df = spark.createDataFrame(rows, "k string, score double, violation boolean")
+    got = {r.k: r for r in G.aggregate_scores(df, ["k"]).collect()}
+    for k in ("hot", "ties", "few"):
+        v = np.array([s for g, s, _ in rows if g == k and s is not None])
+        assert got[k].median_score == pytest.approx(np.median(v)) and got[k].p10_score == pytest.approx(np.quantile(v, S.LOWER_Q))
+    assert got["none"].median_score is None and G.aggregate_scores(df.limit(0), ["k"]).count() == 0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import settings as S
 from tickloom.functions.num import clip, div
+from tickloom.operators.quantiles import with_quantiles
+from tickloom.session import materialize
 
 CODES = ["FAIL_NO_CYCLE", "FAIL_INVALID_ACTION", "FAIL_MIN_TRADES", "FAIL_MAX_TRADES", "FAIL_MIN_FLIPS", "FAIL_MAX_FLIPS", "FAIL_LOW_EXPOSURE",
          "FAIL_LOW_RETURN", "FAIL_WINRATE_LOW", "FAIL_WINRATE_HIGH", "FAIL_MDD_BREACH", "FAIL_PF", "FAIL_LUCKY_STRIKE", "FAIL_SIGNAL_DEGENERATE"]
@@ -123,8 +125,9 @@ def robust_score(med: Column, q: Column, sd: Column, viol: Column) -> Column:
 
 
 def aggregate_scores(samples: DataFrame, keys: list[str], score: str = "score", viol: str = "violation") -> DataFrame:
-    agg = samples.groupBy(*keys).agg(F.median(score).alias("median_score"), F.percentile(score, F.lit(S.LOWER_Q)).alias("p10_score"),
-                                     F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std_score"), F.avg(F.col(viol).cast("double")).alias("violation_rate"))
+    samples = materialize(samples.select(*keys, score, viol))
+    agg = samples.groupBy(*keys).agg(F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std_score"), F.avg(F.col(viol).cast("double")).alias("violation_rate"))
+    agg = with_quantiles(agg, samples, keys, median_score=(score, 0.5), p10_score=(score, S.LOWER_Q))
     return agg.withColumn("score", robust_score(c("median_score"), c("p10_score"), c("std_score"), c("violation_rate")))
 
 
@@ -137,8 +140,10 @@ def normalize(df: DataFrame, within: list[str], score: str = "raw_score") -> Dat
 
 def finalize(windows: DataFrame, keys: list[str], spec: DataFrame) -> DataFrame:
     """Module score with walk-forward consistency: hard mode rejects, soft mode subtracts 10 x the worst gap."""
-    agg = windows.groupBy(*keys, "stage_id").agg(F.median("normalized_score").alias("m"), F.percentile("normalized_score", F.lit(S.LOWER_Q)).alias("q"),
-                                                 F.coalesce(F.stddev_samp("normalized_score"), F.lit(0.0)).alias("s"), F.avg("violation_rate").alias("v"), F.min("avg_alpha").alias("worst"))
+    by = [*keys, "stage_id"]
+    windows = materialize(windows.select(*by, "normalized_score", "violation_rate", "avg_alpha"))
+    agg = windows.groupBy(*by).agg(F.coalesce(F.stddev_samp("normalized_score"), F.lit(0.0)).alias("s"), F.avg("violation_rate").alias("v"), F.min("avg_alpha").alias("worst"))
+    agg = with_quantiles(agg, windows, by, m=("normalized_score", 0.5), q=("normalized_score", S.LOWER_Q))
     j = agg.join(F.broadcast(spec.select("stage_id", "alpha_floor", "wf_gate_mode")), "stage_id")
     bad = c("worst") < c("alpha_floor")
     base = robust_score(c("m"), c("q"), c("s"), c("v")) - F.when(bad, F.abs(c("worst") - c("alpha_floor")) * 10.0).otherwise(0.0)

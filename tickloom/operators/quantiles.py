@@ -53,3 +53,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, floa
     hit = hit.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     out = hit.groupBy(*keys, "col", "q").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.max("pos").alias("pos"))
     return out.select(*keys, "col", "q", (F.col("a") + (F.col("pos") - F.floor("pos")) * (F.col("b") - F.col("a"))).alias("value"))
+
+
+def with_quantiles(agg: DataFrame, df: DataFrame, keys: list[str], **wanted: tuple[str, float]) -> DataFrame:
+    """``agg`` with one more column per ``name=(column, q)``; ``df`` is read once more, so let it be a written one."""
+    q = exact_quantiles(df, keys, list(wanted.values()))
+    wide = q.groupBy(*keys).agg(*[F.max(F.when((F.col("col") == c) & (F.col("q") == p), F.col("value"))).alias(n) for n, (c, p) in wanted.items()])
+    return agg.join(wide, keys, "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.num import div
+from tickloom.operators.quantiles import with_quantiles
+from tickloom.session import materialize
 
 # Histogram bins of the batch report.
 TRADE_BINS = [0, 1, 2, 3, 5, 10, 20, 50, 100]
@@ -31,7 +33,8 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: list[int]) -> Da
 
 
 def summary_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"))
+    df = materialize(df.select(*keys, value))
+    return with_quantiles(df.groupBy(*keys).agg(F.avg(value).alias("mean")), df, keys, p10=(value, 0.1), p90=(value, 0.9))
 
 
 def top_values(df: DataFrame, keys: list[str], value: str, k: int = 3, digits: int = 3) -> DataFrame:
@@ -65,11 +68,12 @@ def module_params(key: Column) -> dict[str, Column]:
 
 def batch_report(ep: DataFrame, key: str = "batch_id") -> DataFrame:
     """One row per batch: rates, medians, reward spread, collapse flag, dominant gate and reason."""
+    ep = materialize(ep)
     a = ep.groupBy(key).agg(
-        F.count(F.lit(1)).alias("episodes"), F.avg(F.col("gate_pass").cast("double")).alias("gate_pass_rate"), F.median("trade_count").alias("median_trades"), F.median("cycle_count").alias("median_cycles"),
-        F.median("avg_hold_bars").alias("median_hold"), F.avg("reward").alias("reward_mean"), F.var_pop("reward").alias("reward_variance"), F.countDistinct(F.round("reward", 3)).alias("reward_unique"),
+        F.count(F.lit(1)).alias("episodes"), F.avg(F.col("gate_pass").cast("double")).alias("gate_pass_rate"), F.avg("reward").alias("reward_mean"), F.var_pop("reward").alias("reward_variance"), F.countDistinct(F.round("reward", 3)).alias("reward_unique"),
         F.avg("entry_rate").alias("entry_rate_mean"), F.avg("invalid_rate").alias("invalid_rate_mean"), F.avg("distance").alias("distance_mean"),
         F.avg(F.array_contains("tags", "ONE_SHOT_HOLD").cast("double")).alias("one_shot_rate"), F.avg(F.array_contains("tags", "RARE_SIGNAL").cast("double")).alias("rare_rate"))
+    a = with_quantiles(a, ep, [key], median_trades=("trade_count", 0.5), median_cycles=("cycle_count", 0.5), median_hold=("avg_hold_bars", 0.5))
     gates = ep.filter("nearest_gate <> 'PASS'").groupBy(key, "nearest_gate").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     top = gates.groupBy(key).agg(F.max_by("nearest_gate", F.struct(F.col("n"), -F.col("first"))).alias("gate_focus"), (F.max("n") / F.sum("n")).alias("gate_ratio"))
     collapsed = (F.sqrt("reward_variance") < 1e-4) | (F.col("reward_unique") < 3)
@@ -133,8 +137,10 @@ def stagnation(batches: DataFrame) -> DataFrame:
 
 
 def quality(ep: DataFrame, key: str = "batch_id") -> DataFrame:
-    return ep.groupBy(key).agg(F.max("score").alias("best_score"), F.avg("score").alias("mean_score"), F.median("score").alias("median_score"), F.avg("trade_count").alias("mean_trades"),
-                               F.avg((F.col("trade_count") == 0).cast("double")).alias("zero_trade_ratio"), F.avg((F.col("cycle_count") == 0).cast("double")).alias("zero_cycle_ratio"))
+    ep = materialize(ep.select(key, "score", "trade_count", "cycle_count"))
+    a = ep.groupBy(key).agg(F.max("score").alias("best_score"), F.avg("score").alias("mean_score"), F.avg("trade_count").alias("mean_trades"),
+                            F.avg((F.col("trade_count") == 0).cast("double")).alias("zero_trade_ratio"), F.avg((F.col("cycle_count") == 0).cast("double")).alias("zero_cycle_ratio"))
+    return with_quantiles(a, ep, [key], median_score=("score", 0.5))
 
 
 def template_summary(ep: DataFrame, keys: list[str]) -> DataFrame:
