@@ -67,3 +67,19 @@ def test_one_outlier_leaves_the_slots_even(spark):
     assert got == {q: float(np.quantile(values, q)) for q in got}
     same = spark.createDataFrame([(f"P{i:03d}", -100.0 + (i % 3)) for i in range(60)], "policy_id string, score double")
     assert [(r["rank"], r.policy_id) for r in top_share(same, 0.05).orderBy("rank").collect()] == [(1, "P002"), (2, "P005"), (3, "P008")]
+
+
+def test_quantiles_hold_when_a_sketch_cuts_elsewhere_the_second_time(spark, monkeypatch):
+    from tickloom.operators import quantiles
+
+    def shaky(value):  # parts of a sketch arrive in any order, so each evaluation may give other edges
+        cut = F.udf(lambda e: sorted(np.random.default_rng().choice(e, len(e) // 2, replace=False).tolist()), "array<double>").asNondeterministic()
+        return cut(slot_edges(value))
+
+    monkeypatch.setattr(quantiles, "slot_edges", shaky)
+    values = [float((i * 7919) % 20_011) for i in range(20_000)]
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, k int")
+    got = {r.q: r.value for r in exact_quantiles(df, ["k"], [("v", q) for q in (0.1, 0.5, 0.9)]).collect()}
+    assert got == {q: float(np.quantile(values, q)) for q in (0.1, 0.5, 0.9)}
+    scored = df.select(F.col("v").cast("string").alias("policy_id"), F.col("v").alias("score"))
+    assert [r.score for r in top_share(scored, 0.01).orderBy("rank").collect()] == sorted(values, reverse=True)[:200]
