@@ -142,3 +142,15 @@ def test_scores_of_a_hot_group(spark):
         v = np.array([s for g, s, _ in rows if g == k and s is not None])
         assert got[k].median_score == pytest.approx(np.median(v)) and got[k].p10_score == pytest.approx(np.quantile(v, S.LOWER_Q))
     assert got["none"].median_score is None and G.aggregate_scores(df.limit(0), ["k"]).count() == 0
+
+
+def test_a_return_that_meets_its_floor_does_not_hang_on_the_order_of_rows(spark, tmp_path):
+    from tickloom.queries.result_queries import KEYS, metrics_table, staged
+    cents = [3, 7, -9, 1, 8, -4, -6, 10, 2, -7, 5, -8, 6, -2, -6]  # sum 0: the excess return of supplier 53 is 0, its floor, whatever the order
+    rows = [(sup, "A", float(sup), max(x, 0) / 100, max(-x, 0) / 100) for sup in (53, 53 * 5, 53 * 9) for x in cents * 3]
+    for i in range(4):
+        random.Random(i).shuffle(rows)
+        path = f"{tmp_path}/{i}"
+        spark.createDataFrame(rows, "l_suppkey bigint, l_returnflag string, l_quantity double, l_discount double, l_tax double").coalesce(1 + i).write.parquet(f"{path}/lineitem.parquet")
+        assert {r.excess_return for r in metrics_table(spark, path).collect()} == {0.0}
+        assert G.failures(staged(spark, path), KEYS).filter("code = 'FAIL_LOW_RETURN' and stage_id = 2").count() == 0
