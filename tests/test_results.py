@@ -154,3 +154,24 @@ def test_a_return_that_meets_its_floor_does_not_hang_on_the_order_of_rows(spark,
         spark.createDataFrame(rows, "l_suppkey bigint, l_returnflag string, l_quantity double, l_discount double, l_tax double").coalesce(1 + i).write.parquet(f"{path}/lineitem.parquet")
         assert {r.excess_return for r in metrics_table(spark, path).collect()} == {0.0}
         assert G.failures(staged(spark, path), KEYS).filter("code = 'FAIL_LOW_RETURN' and stage_id = 2").count() == 0
+
+
+def test_the_document_index_writes_no_text_per_entity(spark, tmp_path):
+    from pathlib import Path
+
+    from tickloom.queries import document_queries as Q
+    from tickloom.queries.base import QUERIES
+    from tickloom.session import shared_folder
+    rng = random.Random(2)
+    words = [f"Name{chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 5 == 0 else f"word{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(60)] + ["", "only lower words in here here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    edges = QUERIES["doc.graph"](spark, str(tmp_path))
+    assert edges.count() > 0 and size() - before < 2 * sum(map(len, texts))
+    ch, links = Q.linked(spark, str(tmp_path))
+    idf = D.inverse_frequencies(D.texts_of(ch, *links))
+    one, two = ({(r.text_key, r.term): r.weight for r in D.tfidf(D.texts_of(ch, *links), idf, head).collect()} for head in (50_000, 7))
+    assert one == pytest.approx(two) and len(one) > 1000
