@@ -175,3 +175,18 @@ def test_the_document_index_writes_no_text_per_entity(spark, tmp_path):
     idf = D.inverse_frequencies(D.texts_of(ch, *links))
     one, two = ({(r.text_key, r.term): r.weight for r in D.tfidf(D.texts_of(ch, *links), idf, head).collect()} for head in (50_000, 7))
     assert one == pytest.approx(two) and len(one) > 1000
+
+
+def test_embedding_moves_texts_once_and_only_those_compared(spark, tmp_path, monkeypatch):
+    from tickloom.queries import document_queries as Q
+    texts = ["Alpha Beta met quality data. " * 200, "Gamma model. " + " ".join(f"word{i}" for i in range(700))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    compared, written, similarities, write = [], [], D.similarities, D.materialize
+    monkeypatch.setattr(D, "similarities", lambda t, *a: compared.append(t) or similarities(t, *a))
+    monkeypatch.setattr(D, "materialize", lambda df: written.append(df.columns) or write(df))
+    assert Q.searched(spark, str(tmp_path))[2].count() > 0
+    assert max(len(r.text) for r in compared[0].collect()) < 1000  # no chunk among them
+    texts, idf, _ = Q.embedded(spark, str(tmp_path))
+    written.clear()
+    assert all(D.tfidf(texts, idf, head).count() > 700 for head in (50_000, 7))
+    assert not any("text_key" in c for c in written)
