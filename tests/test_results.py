@@ -190,3 +190,23 @@ def test_embedding_moves_texts_once_and_only_those_compared(spark, tmp_path, mon
     written.clear()
     assert all(D.tfidf(texts, idf, head).count() > 700 for head in (50_000, 7))
     assert not any("text_key" in c for c in written)
+
+
+def test_param_similarity_compares_classes(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = [(frozenset(rng.sample("abcdefg", rng.randint(2, 6))), rng.choice([1.0, 2.0, 4.0, None])) for _ in range(12)]
+    own = {f"p{i:03d}": kinds[i % 12 if i % 3 else 0] for i in range(90)}
+    own["p001"] = (own["p001"][0], 9.0)
+    genes = spark.createDataFrame([(p, f) for p, (fs, _) in own.items() for f in fs], "policy_id string, feature string")
+    rows = [(p, f, k, None if v is None else v * (i + 1)) for p, (fs, v) in own.items() for i, f in enumerate(sorted(fs)) for k in ("w", "x")]
+    rows += [r for r in rows if r[0] in ("p000", "p002")]  # repeated rows count as often as they are there
+    rows = [r for r in rows if r[0] != "p005"]  # no parameters: no pair
+    params = spark.createDataFrame(rows, "policy_id string, feature string, param string, value double")
+    want = {(r.p1, r.p2): r.param_similarity for r in SEL.param_similarity(params, SEL.similar_policies(genes, 0.5)).collect()}
+    sizes, similar = [], SEL.param_similarity
+    monkeypatch.setattr(SEL, "param_similarity", lambda p, pairs: sizes.append(pairs.count()) or similar(p, pairs))
+    for block in (1024, 4):
+        monkeypatch.setattr(SEL, "BLOCK", block)
+        got = SEL.similar_params(genes, params, 0.5).collect()
+        assert {(r.p1, r.p2): r.param_similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert max(sizes) <= 15 * 16 / 2 < len(want) / 4
