@@ -126,3 +126,21 @@ def test_one_class_and_no_rows(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1), (None, 1)], "f0 double, y int")
     assert B.fit(df, ["f0"], "y", 2, None, B.Params(2)).probabilities(np.array([[1.0]]), np.zeros(1, int))[0, 1] > 0.99
     assert len(B.fit(df.limit(0), ["f0"], "y", 2, None, B.Params(1)).trees) == 2
+
+
+def test_folds_of_a_small_table_are_tasks_of_their_own(spark, monkeypatch):
+    ship(spark)
+    x, y = table(300)
+    df = frame(spark, x, y, fold=np.arange(300) % 3)
+    names, params, folds = ["f0", "f1", "f2"], B.Params(2, 0.3, 4, 64, 5, balanced=True), [*[F.col("fold") != f for f in range(2)], F.lit(False)]
+    monkeypatch.setattr(B, "ROWS", 150)
+    together = B.fit(df, names, "y", 2, folds, params).trees
+    monkeypatch.undo()
+
+    def refuse(*_, **__):
+        raise AssertionError("one task for all folds")
+
+    monkeypatch.setattr(type(df), "mapInPandas", refuse)
+    alone = B.fit(df, names, "y", 2, folds, params).trees
+    assert alone[["round", "lane", "node", "feature"]].equals(together[["round", "lane", "node", "feature"]])
+    assert np.allclose(alone["value"], together["value"]) and alone["lane"].max() == 2

@@ -8,7 +8,7 @@ children of every leaf that may still be split, in one exchange, and only for th
 difference to their parent. So a tree takes about as many exchanges as it has levels, and the splits are those of growing leaf by leaf.
 
 Folds are trained side by side in the same exchanges, each on its own rows, and so are the classes of a softmax; one such tree
-a round is a lane. A lost task repeats the stage. The number of tasks follows the rows (ROWS rows each, at most the slots
+a round is a lane. Rows that fit one task exchange nothing, so there each fold is a task of its own, with the rows it learns from. A lost task repeats the stage. The number of tasks follows the rows (ROWS rows each, at most the slots
 that the session has by default, since a barrier stage needs all its tasks at once; dynamic allocation has to be off). An exchange takes about
 a second however little it moves, so tasks are few and large; a single task exchanges nothing.
 
@@ -22,12 +22,12 @@ import base64
 import heapq
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
+from pyspark import BarrierTaskContext, Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,12 +178,12 @@ def _sum(parts: list[np.ndarray]) -> list[np.ndarray]:
     return [x.reshape(p.shape) for x, p in zip(np.split(total, ends), parts, strict=True)]
 
 
-def grow(x: np.ndarray, y: np.ndarray, train: np.ndarray, classes: int, edges: list[np.ndarray], params: Params) -> Iterator[list[tuple]]:
-    """The trees of each round. y: class of each row; train: [rows, folds], which rows a fold learns from."""
+def grow(x: np.ndarray, y: np.ndarray, train: np.ndarray, classes: int, edges: list[np.ndarray], params: Params, total: Callable = _sum) -> Iterator[list[tuple]]:
+    """The trees of each round. y: class of each row; train: [rows, folds], which rows a fold learns from; total: sums arrays over tasks."""
     bins = binned(x, edges)
     codes = bins + BINS * np.arange(len(edges), dtype=np.int32)
     folds, heads = train.shape[1], 1 if classes == 2 else classes
-    (count,) = _sum([np.array([[np.sum(train[:, f] & (y == k)) for k in range(classes)] for f in range(folds)], float)])
+    (count,) = total([np.array([[np.sum(train[:, f] & (y == k)) for k in range(classes)] for f in range(folds)], float)])
     weight = np.ones((folds, len(y)))
     if params.balanced:
         weight = (count.sum(1, keepdims=True) / (classes * np.maximum(count, 1)))[:, y]
@@ -203,10 +203,10 @@ def grow(x: np.ndarray, y: np.ndarray, train: np.ndarray, classes: int, edges: l
             for k in range(heads):
                 target = y == (1 if heads == 1 else k)
                 trees.append(Tree(codes, bins, (p[k] - target) * weight[f], np.maximum(p[k] * (1 - p[k]), 1e-16) * weight[f], train[:, f], params))
-        for tree, hist in zip(trees, _sum([t.local(np.arange(len(y))) for t in trees]), strict=True):
+        for tree, hist in zip(trees, total([t.local(np.arange(len(y))) for t in trees]), strict=True):
             tree.start(hist)
         while wants := [(t, w) for t in trees for w in t.wanted()]:
-            sums = _sum([t.local(w[2] if w[1] else w[3]) for t, w in wants])
+            sums = total([t.local(w[2] if w[1] else w[3]) for t, w in wants])
             for (t, w), hist in zip(wants, sums, strict=True):
                 t.answer(w, hist)
         out = []
@@ -264,6 +264,26 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
+def _fold_tasks(rows: DataFrame, folds: int, classes: int, edges: Broadcast, params: Params) -> pd.DataFrame:
+    """The trees of all folds, each grown in a group of its own from the rows that the fold learns from: at most ROWS rows."""
+    heads = 1 if classes == 2 else classes
+    columns = [c.split()[0] for c in TREES.split(", ")]
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part[part["y"] >= 0]
+        x, y = np.array(part["x"].tolist(), float).reshape(len(part), len(edges.value)), part["y"].to_numpy()
+        out = [t for trees in grow(x, y, np.ones((len(part), 1), bool), classes, edges.value, params, lambda parts: parts) for t in trees]
+        grown = pd.DataFrame(out, columns=columns)
+        return grown.assign(lane=grown["lane"] + key[0] * heads)
+
+    # a row without label stands for a fold that learns from nothing
+    none = rows.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"), F.array().cast("array<double>").alias("x"), F.lit(-1).alias("y"))
+    learnt = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.get("train", f)))
+    each = rows.select(learnt.alias("fold"), "x", "y").unionByName(none)
+    trees = each.repartitionByRange(folds, "fold").groupBy("fold").applyInPandas(run, TREES).toPandas()
+    return trees.sort_values(["round", "lane"], kind="stable", ignore_index=True)
+
+
 def fit(df: DataFrame, features: list[str], label: str, classes: int, folds: list[Column] | None = None, params: Params = Params()) -> Model:  # noqa: B008
     """A model for each fold; label: 0 to classes - 1, rows of other labels are left out; folds: conditions on the rows that each of them learns from (default: one, all rows)."""
     spark = df.sparkSession
@@ -284,7 +304,10 @@ def fit(df: DataFrame, features: list[str], label: str, classes: int, folds: lis
             if first:
                 yield pd.DataFrame(trees, columns=[c.split()[0] for c in TREES.split(", ")])
 
-    trees = rows.repartition(tasks).mapInPandas(run, TREES, barrier=True).toPandas()
+    if tasks == 1 and lanes > 1:
+        trees = _fold_tasks(rows, lanes, classes, shared, params)
+    else:
+        trees = rows.repartition(tasks).mapInPandas(run, TREES, barrier=True).toPandas()
     return Model(trees, features, classes, len(folds))
 
 
