@@ -210,3 +210,32 @@ def test_param_similarity_compares_classes(spark, monkeypatch):
         got = SEL.similar_params(genes, params, 0.5).collect()
         assert {(r.p1, r.p2): r.param_similarity for r in got} == pytest.approx(want) and len(got) == len(want)
     assert max(sizes) <= 15 * 16 / 2 < len(want) / 4
+
+
+def test_selection_score_adds_the_robustness_of_the_windows_to_their_best(spark, tmp_path):
+    import duckdb
+
+    from tickloom.queries.base import ORACLE, QUERIES
+    from tickloom.queries.result_queries import KEYS, samples, selection_scores
+    rng = random.Random(11)
+    rows = [(sup, flag, float(rng.randint(1, 50)), (4 + sup % 3 + rng.randint(0, 5 + 3 * w)) / 100, rng.randint(0, 8) / 100) for sup in range(1, 81) for w, flag in enumerate("ANR") for _ in range(rng.randint(20, 150))]
+    rows += [(81, flag, 9.0, 0.05, 0.02) for flag in "ANR" for _ in range(90)]  # equal returns: equal windows, no deviation
+    spark.createDataFrame(rows, "l_suppkey bigint, l_returnflag string, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = samples(spark, str(tmp_path)).drop("sharpe")
+    both = m.join(G.reward(m, KEYS).select(*KEYS, "total", "is_rejected"), KEYS).join(G.distances(m).select(*KEYS, "soft_gate_score"), KEYS)
+    own = {}
+    for r in both.orderBy(*KEYS).collect():
+        own.setdefault(r.policy_id, []).append((r.soft_gate_score if r.is_rejected else r.score, r.total, r.soft_gate_score, r.excess_return >= r.alpha_floor, r.is_rejected))
+    want = {}
+    for p, windows in own.items():
+        best = max(windows, key=lambda w: w[0])  # the first of equals
+        robust = sum(w[3] for w in windows) / len(windows) - sum(w[4] for w in windows) / len(windows)
+        want[p] = (best[1], best[2], robust, best[1] + best[2] + robust)
+    got = {r.policy_id: (r.performance, r.progress, r.robustness, r.score) for r in selection_scores(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    assert len({round(w[2], 6) for w in want.values()}) >= 4 and any(max(w[1] for w in own[p]) > want[p][0] for p in want)  # the maxima need not be those of one window
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    df = QUERIES["score.selection"](spark, str(tmp_path))
+    sql = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE['score.selection']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(sql)
