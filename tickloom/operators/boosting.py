@@ -178,8 +178,9 @@ def _sum(parts: list[np.ndarray]) -> list[np.ndarray]:
     return [x.reshape(p.shape) for x, p in zip(np.split(total, ends), parts, strict=True)]
 
 
-def grow(x: np.ndarray, y: np.ndarray, train: np.ndarray, classes: int, edges: list[np.ndarray], params: Params, total: Callable = _sum) -> Iterator[list[tuple]]:
-    """The trees of each round. y: class of each row; train: [rows, folds], which rows a fold learns from; total: sums arrays over tasks."""
+def grow(x: np.ndarray, y: np.ndarray, train: np.ndarray, classes: int, edges: list[np.ndarray], params: Params, total: Callable | None = None) -> Iterator[list[tuple]]:
+    """The trees of each round. y: class of each row; train: [rows, folds], which rows a fold learns from; total: sums arrays over tasks, by default those of the stage."""
+    total = total or _sum
     bins = binned(x, edges)
     codes = bins + BINS * np.arange(len(edges), dtype=np.int32)
     folds, heads = train.shape[1], 1 if classes == 2 else classes
